@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, licenses, pii, quality_classifier
+from . import bpe, decontaminate, language_id, licenses, pii, quality_classifier, quality_rules
 from .common import read_table
 
 
@@ -20,13 +20,23 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contained(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(read_table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_spans(read_table(spark, sf_dir, "documents"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_license_scan, op5_decontaminate, op7_pii, op10_quality_classifier)}
-ORACLES = {"op3_license_scan": licenses.oracle(), "op5_decontaminate": decontaminate.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_license_scan, op5_decontaminate, op6_bpe, op7_pii, op9_quality_rules, op10_quality_classifier)}
+ORACLES = {"op9_quality_rules": quality_rules.ORACLE, "op3_license_scan": licenses.oracle(), "op5_decontaminate": decontaminate.ORACLE}
