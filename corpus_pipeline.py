@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flumen.llm import decontaminate, pii, quality_classifier
+from flumen.llm import bpe, decontaminate, jaccard, pii, quality_classifier
 from flumen.llm.common import read_table, shared_folder, stored
 
 
@@ -13,6 +13,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_classifier.keep_good(docs, read_table(spark, sf_dir, "labels"))
 
 
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one of smallest id, of each component of near duplicates."""
+    return jaccard.keep_one(docs)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
     return decontaminate.keep_clean(docs, read_table(spark, sf_dir, "benchmark"))
@@ -23,7 +28,13 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pii.redact(docs)
 
 
-STAGES = [("quality", quality), ("decontamination", decontaminated), ("pii", redacted)]
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their token ids (n_tokens, token_ids)."""
+    return bpe.encode_documents(docs)
+
+
+STAGES = [("quality", quality), ("near_duplicates", deduplicated), ("decontamination", decontaminated), ("pii", redacted), ("encoding", encoded)]
+#: SQL can express neither the classifier nor the encoding; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -42,6 +44,33 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+_shipped: set = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a Spark application, so that their Python finds it."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if os.path.isdir(package):  # else it was itself shipped as an archive
+        path = os.path.join(tempfile.mkdtemp(prefix="flumen-"), "flumen.zip")
+        with zipfile.ZipFile(path, "w") as archive:
+            for top, _, names in os.walk(package):
+                for name in names:
+                    if name.endswith(".py"):
+                        full = os.path.join(top, name)
+                        archive.write(full, os.path.relpath(full, os.path.dirname(package)))
+        context.addPyFile(path)
+    _shipped.add(context.applicationId)
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` with this package at hand."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def crc_mod4(doc_id: str = "doc_id") -> Column:
     """crc32(doc_id as text) mod 4; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4
@@ -69,7 +98,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str
                 out = fn(batch)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def text_chunks(texts: list, most: int = 1 << 20) -> Iterator[tuple[int, int]]:

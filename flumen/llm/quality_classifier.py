@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees, sigmoid
-from .common import is_held_out, is_learnable, map_batches
+from .common import is_held_out, is_learnable, map_arrow, map_batches
 from .sampling import least_hashes
 
 BLOCK = 1024
@@ -128,4 +128,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshol
             keep = [s >= threshold for s in score(batch.column(at).to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
