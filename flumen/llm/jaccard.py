@@ -13,13 +13,14 @@ join returns classes and connected components of links; no link between differen
    lists of common ones are aggregated by key. Each list yields star pairs only: its pivot, the set
    that has the shingle at the earliest position, with each other set of the list. So a group of
    near copies gives pairs in proportion to its size.
-4. Star pairs are verified by exact intersection. Links give first components.
-5. Set relations. Two sets x, y that share an index list both have counted intersections with its
-   pivot p, and |x and y| lies between |x and p| + |y and p| - |p| and min(|x and p|, |y and p|) +
-   min(|x - p|, |y - p|). Pairs inside one component need no answer. For others the lower bound
-   accepts, the upper bound rejects, and only what remains is verified. Lists are skipped in
-   blocks: sets are kept by blocks of their distance to the pivot, and by the triangle inequality
-   only neighbouring blocks can hold a link.
+   Pairs are weighed by the number of lists.
+4. Linked sets of n shingles share about n / 11 lists, fewer if their sizes differ. Star pairs with so
+   many are verified by exact intersection; their links give first components.
+5. Set relations. Pairs inside one component need no answer. Two other sets x, y that stand under one
+   pivot p share at most the fewer lists of either there; summed over pivots that must reach what linked
+   sets need. If both were verified against p, |x and y| lies between |x and p| + |y and p| - |p| and
+   min(|x and p|, |y and p|) + min(|x - p|, |y - p|): the lower bound accepts, the upper one rejects.
+   Only what remains is verified.
 
 Texts are read whole. Null or empty texts and texts without words have the empty set, which links with
 nothing. Null ids are kept and never named as a component if another id is there. Ids that stand in
@@ -34,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, map_batches, shared_folder, stored, text_chunks
+from .common import map_arrow, map_batches, release, shared_folder, stored, text_chunks
 from .components import connected_components
 from .shingles import mix, shingle_sets
 
@@ -44,7 +45,9 @@ COMMON = 4096
 COUNTED = 1 << 22
 FLUSH = 1 << 20
 SETS = "doc_id long, n int, class long, packed binary, token long, seen int"
-_ENTRY = np.dtype([("token", "<u8"), ("cls", "<i8"), ("n", "<i4"), ("at", "<i4")])
+#: An index entry: 48 more bits of a shingle below those that name its slice (two shingles taken for one
+#: only add a candidate), the class, and the position, which counts up to 65535.
+_ENTRY = np.dtype([("high", "<u4"), ("low", "<u2"), ("at", "<u2"), ("cls", "<i8")])
 
 
 def prefix_length(n: int) -> int:
@@ -77,7 +80,7 @@ def make_sets(docs: DataFrame) -> DataFrame:
     schema = _arrow(SETS)
 
     def run(batches):
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=3)
         known: set = set()
         held, size = [], 0
 
@@ -156,18 +159,21 @@ def _index_entries(sets: DataFrame, shared_order, bits: int) -> DataFrame:
         parts, size = [], 0
 
         def flush():
-            entries = np.concatenate(parts)
-            entries = entries[np.argsort(entries["token"], kind="stable")]
-            where = (entries["token"] >> np.uint64(64 - bits)).astype(np.int64)
+            tokens = np.concatenate([t for t, _ in parts])
+            order = np.argsort(tokens, kind="stable")
+            tokens, widths = tokens[order], [len(t) for t, _ in parts]
+            rest = tokens << np.uint64(bits)
+            e = np.empty(len(tokens), _ENTRY)
+            e["high"], e["low"] = rest >> np.uint64(32), (rest >> np.uint64(16)) & np.uint64(0xFFFF)
+            e["cls"] = np.repeat(np.array([c for _, c in parts], np.int64), widths)[order]
+            e["at"] = np.minimum(np.concatenate([np.arange(w) for w in widths]), 65_535)[order]
+            where = (tokens >> np.uint64(64 - bits)).astype(np.int64)
             cuts = np.flatnonzero(np.diff(where, prepend=-1, append=1 << bits))
-            rows = [{"slice": int(where[a]), "entries": entries[a:b].tobytes()} for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield from _batches(rows, schema)
-
-        for name, n, rare, _ in _prefixes(batches, Order(shared_order.value)):
-            e = np.empty(len(rare), _ENTRY)
-            e["token"], e["cls"], e["n"], e["at"] = rare, name, n, np.arange(len(rare))
-            parts.append(e)
-            size += len(e)
+            yield from _batches([{"slice": int(where[a]), "entries": e[a:b].tobytes()} for a, b in zip(cuts[:-1], cuts[1:], strict=True)], schema)
+
+        for name, _, rare, _ in _prefixes(batches, Order(shared_order.value)):
+            parts.append((rare, name))
+            size += len(rare)
             if size >= FLUSH:
                 yield from flush()
                 parts, size = [], 0
@@ -177,23 +183,35 @@ def _index_entries(sets: DataFrame, shared_order, bits: int) -> DataFrame:
     return map_arrow(sets, run, ddl)
 
 
+def _weighed(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows and how often each stands there."""
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    pairs = pairs[order]
+    first = np.flatnonzero(np.r_[True, (pairs[1:] != pairs[:-1]).any(axis=1)]) if len(pairs) else np.empty(0, np.int64)
+    return pairs[first], np.diff(first, append=len(pairs))
+
+
 def _rare_pairs(entries: DataFrame) -> DataFrame:
-    """Star pairs (p, m) of the lists of rare shingles, slice by slice."""
-    ddl = "p long, m long"
+    """Star pairs (p, m, w) of the lists of rare shingles, slice by slice; w counts the lists."""
+    ddl = "p long, m long, w long"
     schema = _arrow(ddl)
 
     def search(blobs: list[bytes]) -> np.ndarray:
         e = np.frombuffer(b"".join(blobs), _ENTRY)
-        e = e[np.lexsort((e["cls"], e["at"], e["token"]))]
-        start = np.flatnonzero(np.diff(e["token"], prepend=e["token"][:1] + np.uint64(1)))
-        width = np.diff(start, append=len(e))
-        pairs = np.empty((len(e), 2), np.int64)
-        pairs[:, 0], pairs[:, 1] = np.repeat(e["cls"][start], width), e["cls"]
-        return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
-
-    def emit(pairs: np.ndarray):
+        token = e["high"].astype(np.uint64) << np.uint64(16) | e["low"]
+        order = np.lexsort((e["cls"], e["at"], token))
+        token, cls = token[order], e["cls"][order]
+        start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        pairs = np.stack([np.repeat(cls[start], np.diff(start, append=len(token))), cls], axis=1)
+        # copies of one class from several tasks stand next to each other
+        fresh = np.r_[True, (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])]
+        return pairs[fresh & (pairs[:, 0] != pairs[:, 1])]
+
+    def emit(found: list[np.ndarray]):
+        pairs, weights = _weighed(np.concatenate(found))
         for a in range(0, len(pairs), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[a : a + (1 << 16), k]) for k in (0, 1)], schema=schema)
+            part = slice(a, a + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[part, 0]), pa.array(pairs[part, 1]), pa.array(weights[part])], schema=schema)
 
     def run(batches):
         at, blobs, found, size = None, [], [], 0
@@ -205,13 +223,13 @@ def _rare_pairs(entries: DataFrame) -> DataFrame:
                         size += len(found[-1])
                     at, blobs = s, []
                     if size >= FLUSH:
-                        yield from emit(np.unique(np.concatenate(found), axis=0))
+                        yield from emit(found)
                         found, size = [], 0
                 blobs.append(blob)
         if blobs:
             found.append(search(blobs))
         if found:
-            yield from emit(np.unique(np.concatenate(found), axis=0))
+            yield from emit(found)
 
     return map_arrow(entries, run, ddl)
 
@@ -230,6 +248,14 @@ def _common_entries(sets: DataFrame, shared_order) -> DataFrame:
     return map_arrow(sets, run, ddl)
 
 
+def _texts_of(pairs: DataFrame, packed: DataFrame, folder: str, name: str) -> DataFrame:
+    """(class, packed) of the classes in ``pairs``, one row each."""
+    wanted = pairs.select(F.explode(F.array("p", "m")).alias("class")).distinct()
+    texts = stored(packed.join(wanted, "class", "left_semi").groupBy("class").agg(F.first("packed").alias("packed")), folder, name)
+    release(packed.sparkSession)
+    return texts
+
+
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(p, m, np, nm, shared): exact sizes of sets and intersections."""
     rows = (
@@ -272,24 +298,47 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 _LINKED = f"{NUMERATOR + DENOMINATOR} * CAST(shared AS BIGINT) >= {NUMERATOR} * (CAST(np AS BIGINT) + nm)"
 
 
-def _related(star: DataFrame, labels: DataFrame) -> DataFrame:
-    """(p, m, sure): pairs of different components that share a pivot and may link."""
-    width = 1 / DENOMINATOR + 1e-9
+def _needed(x: str, y: str) -> str:
+    """SQL: common prefix shingles that linked sets of sizes x and y have at least.
+
+    Linked sets share a = ceil(4/9 (x + y)) shingles. Beyond the prefix that ends first in the order, a
+    set of n has ceil(0.8 n) - 1 shingles left at most; the rest of the shared ones stand in both prefixes.
+    """
+    part, whole = NUMERATOR, NUMERATOR + DENOMINATOR
+    left = lambda n: f"(({NUMERATOR} * {n} + {DENOMINATOR - 1}) DIV {DENOMINATOR} - 1)"
+    return f"greatest(1, ({part} * ({x} + {y}) + {whole - 1}) DIV {whole} - greatest({left(x)}, {left(y)}))"
+
+
+def _alike(x: str, y: str) -> str:
+    return f"{DENOMINATOR} * least({x}, {y}) >= {NUMERATOR} * greatest({x}, {y})"
+
+
+def _related(weighed: DataFrame, star: DataFrame, labels: DataFrame) -> DataFrame:
+    """(p, m, sure): pairs of different components that share index lists and may link.
+
+    ``weighed`` has (p, m, np, nm, w). The lists that x and y share under one pivot are at most the fewer
+    of either's, and the pivot itself has all of them.
+    """
     named = lambda c: labels.selectExpr(f"node AS {c}", f"label AS l{c}")
     rows = (
-        star.join(named("p"), "p", "left")
+        weighed.join(star.select("p", "m", "shared"), ["p", "m"], "left")
+        .join(named("p"), "p", "left")
         .join(named("m"), "m", "left")
-        .selectExpr("p", "m", "np", "nm", "shared", "coalesce(lp, p) AS lp", "coalesce(lm, m) AS lm", f"CAST(floor((1 - shared / CAST(np + nm - shared AS DOUBLE)) / {width!r}D) AS INT) AS block")
+        .selectExpr("p", "m", "np", "nm", "w", "shared", "coalesce(lp, p) AS lp", "coalesce(lm, m) AS lm")
     )
-    # sets outside the pivot's component meet each other and those inside, in neighbouring blocks
-    a = rows.where("lp <> lm").selectExpr("p", "m AS x", "np", "nm AS nx", "shared AS sx", "lm AS lx", "explode(array(block - 1, block, block + 1)) AS block")
-    b = rows.selectExpr("p", "m AS y", "nm AS ny", "shared AS sy", "lm AS ly", "lp = lm AS inside", "block")
-    most = "least(sx, sy) + least(nx - sx, ny - sy)"
-    pairs = a.join(b, ["p", "block"]).where(
-        f"lx <> ly AND (inside OR x < y) AND {DENOMINATOR} * least(nx, ny) >= {NUMERATOR} * greatest(nx, ny) AND {NUMERATOR + DENOMINATOR} * ({most}) >= {NUMERATOR} * (nx + ny)"
+    outside = rows.where("lp <> lm")
+    a = outside.selectExpr("p", "m AS x", "nm AS nx", "w AS wx", "shared AS sx", "lm AS lx", "np")
+    b = rows.selectExpr("p", "m AS y", "nm AS ny", "w AS wy", "shared AS sy", "lm AS ly", "lp = lm AS inside")
+    both = f"least(sx, sy) + least(nx - sx, ny - sy)"
+    may = f"(sx IS NULL OR sy IS NULL OR {NUMERATOR + DENOMINATOR} * ({both}) >= {NUMERATOR} * (nx + ny))"
+    pairs = a.join(b, "p").where(f"lx <> ly AND (inside OR x < y) AND {_alike('nx', 'ny')} AND {may}").selectExpr(
+        "least(x, y) AS p", "greatest(x, y) AS m", "least(wx, wy) AS w", f"coalesce({NUMERATOR + DENOMINATOR} * (sx + sy - np) >= {NUMERATOR} * (nx + ny), false) AS sure", "nx", "ny"
     )
-    sure = f"{NUMERATOR + DENOMINATOR} * (sx + sy - np) >= {NUMERATOR} * (nx + ny)"
-    return pairs.groupBy(F.expr("least(x, y)").alias("p"), F.expr("greatest(x, y)").alias("m")).agg(F.max(F.expr(sure)).alias("sure"))
+    # pivots with sets that were not verified against them; verified ones are answered
+    own = outside.where(f"shared IS NULL AND {_alike('np', 'nm')}").selectExpr("least(p, m) AS p", "greatest(p, m) AS m", "w", "false AS sure", "np AS nx", "nm AS ny")
+    found = pairs.unionByName(own).groupBy("p", "m").agg(F.sum("w").alias("w"), F.max("sure").alias("sure"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
+    answered = star.selectExpr("least(p, m) AS p", "greatest(p, m) AS m").distinct()
+    return found.where(f"sure OR w >= {_needed('nx', 'ny')}").select("p", "m", "sure").join(answered, ["p", "m"], "left_anti")
 
 
 def link_documents(docs: DataFrame, common: int = COMMON) -> DataFrame:
@@ -309,16 +358,21 @@ def link_documents(docs: DataFrame, common: int = COMMON) -> DataFrame:
     entries = _index_entries(packed, shared_order, bits).repartition(parts, "slice").sortWithinPartitions("slice")
     hot = stored(_common_entries(packed, shared_order), folder, "common")
     pivots = hot.groupBy("token").agg(F.min(F.struct("at", "class")).alias("first"), F.count("*").alias("k")).where("k > 1").selectExpr("token", "first.class AS p")
-    common_pairs = hot.join(pivots, "token").where("class <> p").selectExpr("p", "class AS m").distinct()
-    pairs = stored(_rare_pairs(entries).unionByName(common_pairs).distinct(), folder, "pairs")
-
-    wanted = pairs.select(F.explode(F.array("p", "m")).alias("class")).distinct()
-    texts = stored(packed.groupBy("class").agg(F.first("packed").alias("packed")).join(wanted, "class", "left_semi"), folder, "texts")
-    star = stored(_verify(pairs, texts), folder, "star")
+    common_pairs = hot.select("token", "class").distinct().join(pivots, "token").where("class <> p").groupBy("p", F.col("class").alias("m")).agg(F.count("*").alias("w"))
+    stars = stored(_rare_pairs(entries).unionByName(common_pairs).groupBy("p", "m").agg(F.sum("w").alias("w")), folder, "stars")
+    sizes = rows.where("class IS NOT NULL").groupBy("class").agg(F.max("n").alias("n"))
+    sized = lambda c: sizes.selectExpr(f"class AS {c}", f"n AS n{c}")
+    weighed = stored(stars.join(sized("p"), "p").join(sized("m"), "m").select("p", "m", "np", "nm", "w"), folder, "weighed")
+    release(spark)
+
+    likely = weighed.where(f"{_alike('np', 'nm')} AND w >= {_needed('np', 'nm')}").select("p", "m")
+    star = stored(_verify(likely, _texts_of(likely, packed, folder, "star_texts")), folder, "star")
+    release(spark)
     labels = connected_components(star.where(_LINKED).selectExpr("p AS u", "m AS v"), folder, "first")
 
-    related = stored(_related(star, labels), folder, "related")
-    checked = _verify(related.where("NOT sure").select("p", "m"), texts).where(_LINKED).select("p", "m")
+    related = stored(_related(weighed, star, labels), folder, "related")
+    unsure = related.where("NOT sure").select("p", "m")
+    checked = _verify(unsure, _texts_of(unsure, packed, folder, "related_texts")).where(_LINKED).select("p", "m")
     more = stored(related.where("sure").select("p", "m").unionByName(checked), folder, "more")
     if not more.isEmpty():
         named = lambda c: labels.selectExpr(f"node AS {c}", f"label AS l{c}")
