@@ -86,7 +86,8 @@ def judge_pages(pages: DataFrame, labels: DataFrame, rules=RULES, z: float = Z,
     """page_id, host, path, rule and verdict of every page."""
     parsed = parse_urls(pages)
     # one row a labelled host, read by the estimates of three levels
-    hosts = stored(host_counts(parsed, labels), shared_folder(pages.sparkSession), "hosts")
+    folder = shared_folder(pages.sparkSession)
+    hosts = stored(host_counts(parsed, labels), folder, "hosts")
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     ms, overall = _strength(suffixes)
@@ -103,7 +104,8 @@ def judge_pages(pages: DataFrame, labels: DataFrame, rules=RULES, z: float = Z,
         .selectExpr("host", f"good + {mh} * prior AS a", f"n - good + {mh} * (1 - prior) AS b")
         .selectExpr("host", f"a / (a + b) + {z!r}D * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS upper")
     )
-    bad = bounds.where(f"upper < {least!r}D").selectExpr("host", "true AS bad")
+    # written, so that the last join knows its size and can split the pages of a hot host
+    bad = stored(bounds.where(f"upper < {least!r}D").selectExpr("host", "true AS bad"), folder, "bad")
     return (
         parsed.selectExpr("*", f"{_case(rules, lambda r: r[1] + r[2])} AS rule", f"{_case(rules, lambda r: r[0])} AS ruled")
         .join(bad, "host", "left")
