@@ -92,16 +92,18 @@ def judge_pages(pages: DataFrame, labels: DataFrame, rules=RULES, z: float = Z,
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     ms, overall = _strength(suffixes)
     md, mh = _strength(domains)[0], _strength(hosts)[0]
-    suffixes = suffixes.selectExpr("suffix", f"(good + {ms} * {overall!r}D) / (n + {ms}) AS ps")
-    domains = domains.join(suffixes, "suffix").selectExpr("domain", "suffix", f"(good + {md} * ps) / (n + {md}) AS pd")
-    # every host of the pages gets its bound: unlabelled ones that of the nearest labelled level
+    # every host of the pages gets its bound. A level's prior leaves out what the level below it counts
+    # itself, so no page is evidence twice; unlabelled hosts fall back on the nearest labelled level
     named = _levels(parsed.where(F.expr(_case(rules, lambda r: r[0])).isNull()).select("host").distinct().withColumn("n", F.lit(0)).withColumn("good", F.lit(0))).select("host", "domain", "suffix")
+    counted = lambda df, key, x: df.select(key, F.col("n").alias(f"n{x}"), F.col("good").alias(f"g{x}"))
     bounds = (
-        named.join(hosts.select("host", "n", "good"), "host", "left")
-        .join(domains.select("domain", "pd"), "domain", "left")
-        .join(suffixes, "suffix", "left")
-        .selectExpr("host", "coalesce(n, 0) AS n", "coalesce(good, 0) AS good", f"coalesce(pd, ps, {overall!r}D) AS prior")
-        .selectExpr("host", f"good + {mh} * prior AS a", f"n - good + {mh} * (1 - prior) AS b")
+        named.join(counted(hosts, "host", "h"), "host", "left")
+        .join(counted(domains, "domain", "d"), "domain", "left")
+        .join(counted(suffixes, "suffix", "s"), "suffix", "left")
+        .selectExpr("host", *[f"coalesce({c}, 0L) AS {c}" for c in ("nh", "gh", "nd", "gd", "ns", "gs")])
+        .selectExpr("*", f"(gs - gd + {ms} * {overall!r}D) / (ns - nd + {ms}) AS ps")
+        .selectExpr("*", f"(gd - gh + {md} * ps) / (nd - nh + {md}) AS pd")
+        .selectExpr("host", f"gh + {mh} * pd AS a", f"nh - gh + {mh} * (1 - pd) AS b")
         .selectExpr("host", f"a / (a + b) + {z!r}D * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS upper")
     )
     # written, so that the last join knows its size and can split the pages of a hot host
@@ -135,10 +137,11 @@ hosts AS (SELECT * FROM levels WHERE n > 0),
 domains AS (SELECT suffix, domain, sum(n) AS n, sum(good) AS good FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(good) AS good FROM domains GROUP BY ALL),
 ms AS (SELECT * FROM {prior("suffixes")}), md AS (SELECT * FROM {prior("domains")}), mh AS (SELECT * FROM {prior("hosts")}),
-ps AS (SELECT suffix, (good + m * p) / (n + m) AS ps FROM suffixes, ms),
-pd AS (SELECT domain, (good + m * ps) / (n + m) AS pd FROM domains JOIN ps USING (suffix), md),
-ab AS (SELECT host, good + mh.m * coalesce(pd, ps, ms.p) AS a, n - good + mh.m * (1 - coalesce(pd, ps, ms.p)) AS b
-       FROM levels LEFT JOIN pd USING (domain) LEFT JOIN ps USING (suffix), ms, mh),
+joined AS (SELECT l.host, l.n AS nh, l.good AS gh, coalesce(d.n, 0) AS nd, coalesce(d.good, 0) AS gd, coalesce(s.n, 0) AS ns, coalesce(s.good, 0) AS gs
+           FROM levels l LEFT JOIN domains d ON d.domain = l.domain LEFT JOIN suffixes s ON s.suffix = l.suffix),
+ps AS (SELECT *, (gs - gd + ms.m * ms.p) / (ns - nd + ms.m) AS ps FROM joined, ms),
+pd AS (SELECT *, (gd - gh + md.m * ps) / (nd - nh + md.m) AS pd FROM ps, md),
+ab AS (SELECT host, gh + mh.m * pd AS a, nh - gh + mh.m * (1 - pd) AS b FROM pd, mh),
 bad AS (SELECT host FROM ab WHERE a / (a + b) + {z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) < {least})
 SELECT page_id, host, path, {fits(lambda r: r[1] + r[2])} AS rule,
        coalesce({fits(lambda r: r[0])}, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict
