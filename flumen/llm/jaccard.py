@@ -248,10 +248,38 @@ def _common_entries(sets: DataFrame, shared_order) -> DataFrame:
     return map_arrow(sets, run, ddl)
 
 
+class Bitmap:
+    """2**BITS bits by the leading bits of a class: a filter of fixed size that lets every member pass."""
+
+    BITS = 26
+
+    @classmethod
+    def of(cls, classes: DataFrame) -> bytes:
+        """Built by the executors; the driver gets at most 2**20 words, however many classes there are."""
+        words = classes.selectExpr(f"CAST(shiftrightunsigned(class, {64 - cls.BITS + 6}) AS INT) AS word", f"shiftleft(1L, CAST(shiftrightunsigned(class, {64 - cls.BITS}) & 63 AS INT)) AS bit")
+        got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+        out = np.zeros(1 << (cls.BITS - 6), np.uint64)
+        out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+        return out.tobytes()
+
+    @classmethod
+    def passes(cls, bitmap: bytes, classes: np.ndarray) -> np.ndarray:
+        words, at = np.frombuffer(bitmap, np.uint64), classes.view(np.uint64) >> np.uint64(64 - cls.BITS)
+        return (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
 def _texts_of(pairs: DataFrame, packed: DataFrame, folder: str, name: str) -> DataFrame:
     """(class, packed) of the classes in ``pairs``, one row each."""
-    wanted = pairs.select(F.explode(F.array("p", "m")).alias("class")).distinct()
-    texts = stored(packed.join(wanted, "class", "left_semi").groupBy("class").agg(F.first("packed").alias("packed")), folder, name)
+    wanted = stored(pairs.select(F.explode(F.array("p", "m")).alias("class")).distinct(), folder, f"{name}_wanted")
+    bitmap = packed.sparkSession.sparkContext.broadcast(Bitmap.of(wanted))
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(Bitmap.passes(bitmap.value, batch.column("class").to_numpy())))
+
+    # only texts that are likely wanted are shuffled; the join drops the few that are not
+    near = map_arrow(packed, run, packed.schema)
+    texts = stored(near.join(wanted, "class", "left_semi").groupBy("class").agg(F.first("packed").alias("packed")), folder, name)
     release(packed.sparkSession)
     return texts
 
