@@ -192,7 +192,10 @@ def _weighed(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _rare_pairs(entries: DataFrame) -> DataFrame:
-    """Star pairs (p, m, w) of the lists of rare shingles, slice by slice; w counts the lists."""
+    """Star pairs (p, m, w) of the lists of rare shingles, slice by slice; w counts the lists.
+
+    A pivot is a member of its own lists: (p, p, w).
+    """
     ddl = "p long, m long, w long"
     schema = _arrow(ddl)
 
@@ -205,7 +208,10 @@ def _rare_pairs(entries: DataFrame) -> DataFrame:
         pairs = np.stack([np.repeat(cls[start], np.diff(start, append=len(token))), cls], axis=1)
         # copies of one class from several tasks stand next to each other
         fresh = np.r_[True, (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])]
-        return pairs[fresh & (pairs[:, 0] != pairs[:, 1])]
+        # a list of one class gives nothing; else its pivot stands with itself too
+        many = np.bincount(np.cumsum(np.r_[True, token[1:] != token[:-1]]) - 1, weights=fresh) > 1
+        keep = np.repeat(many, np.diff(start, append=len(token)))
+        return pairs[fresh & keep]
 
     def emit(found: list[np.ndarray]):
         pairs, weights = _weighed(np.concatenate(found))
@@ -344,27 +350,27 @@ def _alike(x: str, y: str) -> str:
 def _related(weighed: DataFrame, star: DataFrame, labels: DataFrame) -> DataFrame:
     """(p, m, sure): pairs of different components that share index lists and may link.
 
-    ``weighed`` has (p, m, np, nm, w). The lists that x and y share under one pivot are at most the fewer
-    of either's, and the pivot itself has all of them.
+    ``weighed`` has (p, m, np, nm, w), pivots with themselves included. The lists that x and y share under
+    one pivot are at most the fewer of either's.
     """
     named = lambda c: labels.selectExpr(f"node AS {c}", f"label AS l{c}")
+    every = weighed.groupBy("m").agg(F.sum("w").alias("all"))
     rows = (
-        weighed.join(star.select("p", "m", "shared"), ["p", "m"], "left")
+        weighed.join(every, "m")
+        .join(star.select("p", "m", "shared"), ["p", "m"], "left")
         .join(named("p"), "p", "left")
         .join(named("m"), "m", "left")
-        .selectExpr("p", "m", "np", "nm", "w", "shared", "coalesce(lp, p) AS lp", "coalesce(lm, m) AS lm")
+        .selectExpr("p", "m", "np", "nm", "w", "all", "shared", "coalesce(lp, p) AS lp", "coalesce(lm, m) AS lm")
     )
-    outside = rows.where("lp <> lm")
-    a = outside.selectExpr("p", "m AS x", "nm AS nx", "w AS wx", "shared AS sx", "lm AS lx", "np")
-    b = rows.selectExpr("p", "m AS y", "nm AS ny", "w AS wy", "shared AS sy", "lm AS ly", "lp = lm AS inside")
-    both = f"least(sx, sy) + least(nx - sx, ny - sy)"
-    may = f"(sx IS NULL OR sy IS NULL OR {NUMERATOR + DENOMINATOR} * ({both}) >= {NUMERATOR} * (nx + ny))"
-    pairs = a.join(b, "p").where(f"lx <> ly AND (inside OR x < y) AND {_alike('nx', 'ny')} AND {may}").selectExpr(
+    a = rows.where("lp <> lm").selectExpr("p", "m AS x", "nm AS nx", "w AS wx", "all AS ax", "shared AS sx", "lm AS lx", "np")
+    b = rows.selectExpr("p", "m AS y", "nm AS ny", "w AS wy", "all AS ay", "shared AS sy", "lm AS ly", "lp = lm AS inside")
+    # shared lists: the fewer of either's here, and at most the fewer of either's elsewhere
+    enough = f"least(wx, wy) + least(ax - wx, ay - wy) >= {_needed('nx', 'ny')}"
+    may = f"(sx IS NULL OR sy IS NULL OR {NUMERATOR + DENOMINATOR} * (least(sx, sy) + least(nx - sx, ny - sy)) >= {NUMERATOR} * (nx + ny))"
+    pairs = a.join(b, "p").where(f"lx <> ly AND (inside OR x < y) AND (y <> p OR sx IS NULL) AND {_alike('nx', 'ny')} AND {enough} AND {may}").selectExpr(
         "least(x, y) AS p", "greatest(x, y) AS m", "least(wx, wy) AS w", f"coalesce({NUMERATOR + DENOMINATOR} * (sx + sy - np) >= {NUMERATOR} * (nx + ny), false) AS sure", "nx", "ny"
     )
-    # pivots with sets that were not verified against them; verified ones are answered
-    own = outside.where(f"shared IS NULL AND {_alike('np', 'nm')}").selectExpr("least(p, m) AS p", "greatest(p, m) AS m", "w", "false AS sure", "np AS nx", "nm AS ny")
-    found = pairs.unionByName(own).groupBy("p", "m").agg(F.sum("w").alias("w"), F.max("sure").alias("sure"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
+    found = pairs.groupBy("p", "m").agg(F.sum("w").alias("w"), F.max("sure").alias("sure"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
     answered = star.selectExpr("least(p, m) AS p", "greatest(p, m) AS m").distinct()
     return found.where(f"sure OR w >= {_needed('nx', 'ny')}").select("p", "m", "sure").join(answered, ["p", "m"], "left_anti")
 
@@ -386,14 +392,14 @@ def link_documents(docs: DataFrame, common: int = COMMON) -> DataFrame:
     entries = _index_entries(packed, shared_order, bits).repartition(parts, "slice").sortWithinPartitions("slice")
     hot = stored(_common_entries(packed, shared_order), folder, "common")
     pivots = hot.groupBy("token").agg(F.min(F.struct("at", "class")).alias("first"), F.count("*").alias("k")).where("k > 1").selectExpr("token", "first.class AS p")
-    common_pairs = hot.select("token", "class").distinct().join(pivots, "token").where("class <> p").groupBy("p", F.col("class").alias("m")).agg(F.count("*").alias("w"))
+    common_pairs = hot.select("token", "class").distinct().join(pivots, "token").groupBy("p", F.col("class").alias("m")).agg(F.count("*").alias("w"))
     stars = stored(_rare_pairs(entries).unionByName(common_pairs).groupBy("p", "m").agg(F.sum("w").alias("w")), folder, "stars")
     sizes = rows.where("class IS NOT NULL").groupBy("class").agg(F.max("n").alias("n"))
     sized = lambda c: sizes.selectExpr(f"class AS {c}", f"n AS n{c}")
     weighed = stored(stars.join(sized("p"), "p").join(sized("m"), "m").select("p", "m", "np", "nm", "w"), folder, "weighed")
     release(spark)
 
-    likely = weighed.where(f"{_alike('np', 'nm')} AND w >= {_needed('np', 'nm')}").select("p", "m")
+    likely = weighed.where(f"p <> m AND {_alike('np', 'nm')} AND w >= {_needed('np', 'nm')}").select("p", "m")
     star = stored(_verify(likely, _texts_of(likely, packed, folder, "star_texts")), folder, "star")
     release(spark)
     labels = connected_components(star.where(_LINKED).selectExpr("p AS u", "m AS v"), folder, "first")
