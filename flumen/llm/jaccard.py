@@ -6,8 +6,8 @@ join returns classes and connected components of links; no link between differen
 1. Sets. Documents of equal sets form a class, named by a 64-bit hash of the set; the rest works on
    classes (among n classes two share a name by chance with probability n*n / 2**65).
 2. Order. Shingles are ordered rare before common, by hash among themselves. Common are those in
-   about one in 4096 documents or more, so their number is bounded by the mean set size times
-   4096 whatever the input. Linked sets share a shingle among the first n - ceil(0.8 n) + 1 of either
+   about one in 8192 documents or more, so their number is bounded by the mean set size times
+   8192 whatever the input. Linked sets share a shingle among the first n - ceil(0.8 n) + 1 of either
    (prefix filter; any order is right, this one keeps index lists short).
 3. Index. The lists of rare shingles are cut into slices of the hash space and searched slice by slice;
    lists of common ones are aggregated by key. Each list yields star pairs only: its pivot, the set
@@ -41,7 +41,7 @@ from .shingles import mix, shingle_sets
 
 NUMERATOR, DENOMINATOR = 4, 5
 #: A shingle is common from this share of the documents on.
-COMMON = 4096
+COMMON = 8192
 COUNTED = 1 << 22
 FLUSH = 1 << 20
 SETS = "doc_id long, n int, class long, packed binary, token long, seen int"
@@ -75,7 +75,7 @@ def _arrow(ddl: str) -> pa.Schema:
 def make_sets(docs: DataFrame) -> DataFrame:
     """A row for each document; its packed text once a class and task; then counts of shingles.
 
-    A shingle is counted where a few thousand documents of a task hold it three times or more.
+    A shingle is counted where two or more of a few thousand documents of a task hold it.
     """
     schema = _arrow(SETS)
 
@@ -86,7 +86,7 @@ def make_sets(docs: DataFrame) -> DataFrame:
 
         def counts():
             tokens, seen = np.unique(np.concatenate(held), return_counts=True)
-            often = seen >= 3
+            often = seen >= 2
             cols = [pa.nulls(int(often.sum()), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.binary())]
             return pa.RecordBatch.from_arrays([*cols, pa.array(tokens[often].view(np.int64)), pa.array(seen[often].astype(np.int32))], schema=schema)
 
@@ -382,7 +382,7 @@ def link_documents(docs: DataFrame, common: int = COMMON) -> DataFrame:
     table = stored(make_sets(docs), folder, "sets")
     rows = table.where("seen IS NULL").select("doc_id", "n", "class")
     classes = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
-    least = max(32, rows.count() // common)
+    least = max(16, rows.count() // common)
     often = table.where("seen IS NOT NULL").groupBy("token").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= least).select("token")
     shared_order = spark.sparkContext.broadcast(often.toArrow().column("token").to_numpy().view(np.uint64))
 

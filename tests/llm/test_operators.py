@@ -196,7 +196,7 @@ def _family_rows(seed, n=120):
     return rows
 
 
-@pytest.mark.parametrize("seed, common", [(1, 4096), (2, 1)])
+@pytest.mark.parametrize("seed, common", [(1, 8192), (2, 1)])
 def test_components_equal_brute_force(spark, seed, common, monkeypatch):
     if common == 1:  # most shingles count as common
         monkeypatch.setattr(jaccard, "COUNTED", 1)
