@@ -250,7 +250,9 @@ WITH words AS (
          '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 marked AS (
   SELECT doc_id, w, array_to_string(w, ' ') || ' ' AS joined,
-         list_filter(list_transform(range(1, len(w) + 1), lambda i: struct_pack(at := i - 1, label := CASE {places} END)), lambda x: x.label IS NOT NULL) AS hits
+         CASE WHEN list_contains(w, 'license') OR list_contains(w, 'cc') THEN
+           list_filter(list_transform(range(1, len(w) + 1), lambda i: struct_pack(at := i - 1, label := CASE {places} END)), lambda x: x.label IS NOT NULL)
+         ELSE [] END AS hits
   FROM words),
 labelled AS (
   SELECT doc_id, w, hits, list_sort(list_distinct(list_transform(hits, lambda x: x.label))) AS base,

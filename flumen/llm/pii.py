@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -217,12 +218,22 @@ def all_spans(texts: list[str], fitted) -> list[tuple[dict, list[tuple[str, int,
                 more[i].append((-q, s, e, k))
     out = []
     for spans, extra in zip(base, more, strict=True):
-        # ascending and disjoint spans: only the neighbours of a place can overlap a new one
-        taken = sorted(x for k in BASE_KINDS for x in spans[k])
+        # starts and ends of what is taken, merged: only the neighbours of a place can overlap a new span
+        starts: list[int] = []
+        ends: list[int] = []
+        for s, e in sorted(x for k in BASE_KINDS for x in spans[k]) if extra else ():
+            if ends and s < ends[-1]:
+                ends[-1] = max(ends[-1], e)
+            else:
+                starts.append(s)
+                ends.append(e)
         chosen: list = []
         for _, s, e, k in sorted(extra):
-            if all(e <= a or b <= s for a, b in taken) and all(e <= a or b <= s for _, a, b in chosen):
+            at = bisect_left(ends, s + 1)  # the first one that ends after s
+            if at == len(starts) or e <= starts[at]:
                 chosen.append((k, s, e))
+                starts.insert(at, s)
+                ends.insert(at, e)
         out.append((spans, chosen))
     return out
 
