@@ -39,6 +39,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-resolve-timeout", dest="resolve_timeout", type=float, default=1.0)
     p.add_argument("-clean", dest="clean", default="", help="delete days before this time")
     p.add_argument("-import", dest="csv", default="", help="CSV file to import")
+    p.add_argument("-measurement", dest="measurement", default="flows", help="name of the series in line protocol")
     p.add_argument("-schema", dest="schema", default=None, help="column names of a CSV file without header")
     p.add_argument("-version", action="version", version=VERSION)
     return p
@@ -91,7 +92,7 @@ def run(spark: SparkSession, argv: list[str], now: float | None = None) -> tuple
         )
         planned = plan(store.flows(), query)
         if not a.resolve or a.format == "influxdb":
-            return 0, reports.run_query(planned, a.columns, a.where, ",".join(names))
+            return 0, reports.run_query(planned, a.columns, a.where, ",".join(names), a.measurement)
         report = reports.make_report(planned, ",".join(names))
         began = clock.time()
         reports.resolve_addresses(report, lookups(a.resolve_timeout), a.resolve_rows)

@@ -9,8 +9,9 @@ from ..functions.net import ip_text
 from ..functions.protocols import protocol_name
 from ..plans.query import Planned
 
-# Names of the line protocol.
-MEASUREMENT = "goprobe_flows"
+#: Default name of the measurement; a parameter, so that existing series can be continued.
+MEASUREMENT = "flows"
+# The columns that are tags.
 TAGS = ("iface", "proto")
 
 
@@ -18,7 +19,7 @@ def escaped(c: Column) -> Column:
     return F.regexp_replace(c, r"([\\, ])", r"\\$1")
 
 
-def influx_lines(planned: Planned) -> DataFrame:
+def influx_lines(planned: Planned, measurement: str = MEASUREMENT) -> DataFrame:
     """Line protocol of all groups: tags by name, text fields escaped, counters with an ``i``, nanoseconds."""
     rows = planned.rows
     tags = [F.concat(F.lit(f",{t}="), F.col(t)) for t in TAGS if t in rows.columns]
@@ -30,7 +31,7 @@ def influx_lines(planned: Planned) -> DataFrame:
             fields.append(F.concat(F.lit("dport="), F.col(name).cast("string")))
         elif name.startswith(("packets", "bytes")) and not name.endswith("percent"):
             fields.append(F.concat(F.lit(f"{name}="), F.col(name).cast("string"), F.lit("i")))
-    parts = [F.lit(MEASUREMENT), *tags, F.lit(" "), F.concat_ws(",", *fields)]
+    parts = [F.lit(measurement), *tags, F.lit(" "), F.concat_ws(",", *fields)]
     if "time" in rows.columns:
         parts += [F.lit(" "), (F.col("time") * 1_000_000_000).cast("string")]
     return rows.select(F.concat(*parts).alias("line"))

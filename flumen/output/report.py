@@ -159,10 +159,10 @@ def error_status(message: str, external: bool) -> str:
     return json.dumps({"status": "error", "statusMessage": "An error occurred during query execution" if external else message})
 
 
-def influx_report(planned: Planned) -> str:
+def influx_report(planned: Planned, measurement: str = "flows") -> str:
     from .lines import influx_lines
 
-    return "".join(r["line"] + "\n" for r in influx_lines(planned).toLocalIterator())
+    return "".join(r["line"] + "\n" for r in influx_lines(planned, measurement).toLocalIterator())
 
 
 def list_report(summaries, external: bool = False, zone: tzinfo = UTC, tunnels: dict[str, tuple[str, str]] | None = None) -> str:
@@ -178,10 +178,10 @@ def list_report(summaries, external: bool = False, zone: tzinfo = UTC, tunnels:
     return f"\n{_aligned(table)}\n"
 
 
-def run_query(planned: Planned, query_type: str, condition: str = "", ifaces: str | None = None) -> str:
+def run_query(planned: Planned, query_type: str, condition: str = "", ifaces: str | None = None, measurement: str = "flows") -> str:
     """Output of a query in its format; a status where nothing was found."""
     if planned.query.format == "influxdb":
-        return influx_report(planned)
+        return influx_report(planned, measurement)
     report = make_report(planned, ifaces)
     if not report.hits:
         return json.dumps(EMPTY) + "\n"

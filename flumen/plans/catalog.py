@@ -189,7 +189,7 @@ MORE: dict[str, tuple[Callable, str | None]] = {
     ),
     "S20_influx_lines": (
         _flows(lambda f: lines.influx_lines(plan(f, spec_query({"columns": "raw", "format": "influxdb", "first": NOW - 3 * 86_400})))),
-        f"""{_WITH} SELECT 'goprobe_flows,iface=' || iface || ',proto=' || {sql_protocol_name('proto')} || ' sip=' || {sql_ip_text('sip')} || ',dip=' || {sql_ip_text('dip')} || ',dport=' || dport
+        f"""{_WITH} SELECT 'flows,iface=' || iface || ',proto=' || {sql_protocol_name('proto')} || ' sip=' || {sql_ip_text('sip')} || ',dip=' || {sql_ip_text('dip')} || ',dport=' || dport
           || ',packets_rcvd=' || sum(pkts_rcvd) || 'i,packets_sent=' || sum(pkts_sent) || 'i,bytes_rcvd=' || sum(bytes_rcvd) || 'i,bytes_sent=' || sum(bytes_sent) || 'i ' || time || '000000000' AS line
           FROM flows WHERE time > {NOW - 3 * 86_400} GROUP BY time, iface, sip, dip, dport, proto""",
     ),

@@ -98,7 +98,7 @@ def test_reports(spark):
 def test_line_outputs(spark):
     flows = spark.createDataFrame([_flow(1300)], FLOWS)
     assert reports.run_query(plan(flows, FlowQuery("raw", "eth0", first=0, format="influxdb")), "raw") == (
-        "goprobe_flows,iface=eth0,proto=TCP sip=1.1.1.1,dip=2.2.2.2,dport=80,packets_rcvd=3i,packets_sent=4i,bytes_rcvd=1i,bytes_sent=2i 1300000000000\n"
+        "flows,iface=eth0,proto=TCP sip=1.1.1.1,dip=2.2.2.2,dport=80,packets_rcvd=3i,packets_sent=4i,bytes_rcvd=1i,bytes_sent=2i 1300000000000\n"
     )
     from flumen.output.lines import csv_lines, escaped, syslog_lines
 

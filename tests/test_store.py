@@ -112,11 +112,11 @@ def test_command_line(spark, store, tmp_path):
 
 
 def test_completion():
-    assert split_words("goquery -i 'eth0 x' si") == ["goquery", "-i", "eth0 x", "si"]
-    assert complete("goquery -i et", ["eth0", "eth1", "wan"]) == ["eth0", "eth1"]
-    assert complete("goquery -i eth0,", ["eth0", "eth1"]) == ["eth0,eth1"]
-    assert complete("goquery talk_s", []) == ["talk_src"] and complete("goquery sip,d", []) == ["sip,dip", "sip,dport", "sip,dst"]
-    assert complete("goquery -e ", []) == ["txt", "json", "csv", "influxdb"] and "-list" in complete("goquery -l", [])
+    assert split_words("flumen -i 'eth0 x' si") == ["flumen", "-i", "eth0 x", "si"]
+    assert complete("flumen -i et", ["eth0", "eth1", "wan"]) == ["eth0", "eth1"]
+    assert complete("flumen -i eth0,", ["eth0", "eth1"]) == ["eth0,eth1"]
+    assert complete("flumen talk_s", []) == ["talk_src"] and complete("flumen sip,d", []) == ["sip,dip", "sip,dport", "sip,dst"]
+    assert complete("flumen -e ", []) == ["txt", "json", "csv", "influxdb"] and "-list" in complete("flumen -l", [])
     assert next_in_condition("dp") == ["dport"] and "=" in next_in_condition("dport ") and next_in_condition("(dport = 80 ") == ["&", ")", "|"]
 
 
