@@ -29,6 +29,8 @@ several rows count as documents of their own until the ids are reported. Other c
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -426,9 +428,26 @@ def link_documents(docs: DataFrame, common: int = COMMON) -> DataFrame:
 def keep_one(docs: DataFrame, common: int = COMMON) -> DataFrame:
     """The documents, all columns, one of each component: the one of smallest id.
 
-    Rows with a null id all stay; of several rows with one id one stays.
+    Rows with a null id all stay; of several rows with one id one stays. Only rows whose id may be
+    removed or repeated (by a bitmap of fixed size) are shuffled to find out, all others pass as they are.
     """
-    linked = link_documents(docs.where("doc_id IS NOT NULL"), common)
-    leaders = linked.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(leaders, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    spark = docs.sparkSession
+    linked = stored(link_documents(docs.where("doc_id IS NOT NULL"), common), shared_folder(spark), "linked")
+    ids = linked.groupBy("doc_id").agg(F.count("*").alias("k"), F.max("component_id").alias("top"))
+    touched = ids.where("k > 1 OR top <> doc_id").select(F.xxhash64("doc_id").alias("class"))
+    bitmap = spark.sparkContext.broadcast(Bitmap.of(touched))
+    release(spark)
+    key = f"key_{uuid.uuid4().hex}"
+    keyed = docs.withColumn(key, F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")))
+
+    def part(wanted: bool) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                keys = batch.column(key)
+                maybe = Bitmap.passes(bitmap.value, keys.fill_null(0).to_numpy(zero_copy_only=False)) & ~keys.is_null().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(maybe == wanted))
+
+        return map_arrow(keyed, run, keyed.schema).select(docs.columns)
+
+    leaders = ids.where("top = doc_id").select("doc_id")
+    return part(False).unionByName(part(True).join(leaders, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
