@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, map_batches, release, shared_folder, stored, text_chunks
+from .common import drop_folder, map_arrow, map_batches, release, shared_folder, stored, text_chunks
 from .components import connected_components
 from .shingles import mix, shingle_sets
 
@@ -382,7 +382,7 @@ def link_documents(docs: DataFrame, common: int = COMMON) -> DataFrame:
     spark = docs.sparkSession
     folder = shared_folder(spark)
     table = stored(make_sets(docs), folder, "sets")
-    rows = table.where("seen IS NULL").select("doc_id", "n", "class")
+    rows = stored(table.where("seen IS NULL").select("doc_id", "n", "class"), folder, "rows")
     classes = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
     least = max(16, rows.count() // common)
     often = table.where("seen IS NOT NULL").groupBy("token").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= least).select("token")
@@ -422,6 +422,8 @@ def link_documents(docs: DataFrame, common: int = COMMON) -> DataFrame:
     top = labels.join(classes.withColumnRenamed("class", "node"), "node").groupBy("label").agg(F.min("least").alias("top"))
     named = labels.join(top, "label").selectExpr("node AS class", "top")
     named = stored(classes.join(named, "class", "left").selectExpr("class", "coalesce(top, least) AS component_id"), folder, "components")
+    for name in ("sets", "common", "stars", "weighed", "star_texts", "star", "related", "related_texts", "more"):
+        drop_folder(spark, f"{folder}/{name}")
     return rows.join(named, "class", "left").selectExpr("doc_id", "CAST(n AS BIGINT) AS n_shingles", "coalesce(component_id, doc_id) AS component_id")
 
 
