@@ -5,8 +5,9 @@ lines of bad ones; lines that both kinds share are left out. A text is cut into
 block is compressed with either dictionary. The normalised difference of the two total sizes is
 positive where the good dictionary fits better; it and the size under the good dictionary, as a share
 of the text (a text that repeats itself is small under any dictionary, with little difference), become
-a calibrated score through boosted trees. The calibration uses documents that neither dictionary has
-seen.
+a calibrated score through boosted trees. The sample is halved: dictionaries of either half measure the
+other one for the calibration, so no document is measured by a dictionary that has seen it; those of
+the first half score.
 
 Labels are learned from documents that are not held out. The sample is bounded: at most ``sample``
 documents a label (a parameter), chosen by hash. Null texts count as empty; an empty text has
@@ -86,16 +87,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[byt
     # one text for an id, even if the id stands in many rows
     texts = docs.where(F.col("doc_id").isin(list(known)) & F.col("text").isNotNull()).groupBy("doc_id").agg(F.min("text").alias("text"))
     parts: dict = {0: ([], []), 1: ([], [])}
-    for i, r in enumerate(sorted(texts.collect(), key=lambda r: r["doc_id"])):
-        parts[known[r["doc_id"]]][i % 2].append(r["text"])
+    for r in sorted(texts.collect(), key=lambda r: r["doc_id"]):
+        side = parts[known[r["doc_id"]]]
+        side[len(side[0]) > len(side[1])].append(r["text"])
     if any(not p for side in parts.values() for p in side):
         return None
-    good, bad = lines_of(parts[1][0]), lines_of(parts[0][0])
-    contents = build_dictionary(good, bad), build_dictionary(bad, good)
-    differ = Differ(*contents)
-    x = np.array([differ.measure(t) for q in (0, 1) for t in parts[q][1]])
-    y = np.array([float(q) for q in (0, 1) for _ in parts[q][1]])
-    return *contents, BoostedTrees(trees=30, depth=2).fit(x, y)
+    x, y, contents = [], [], []
+    for half in (0, 1):
+        good, bad = lines_of(parts[1][half]), lines_of(parts[0][half])
+        contents.append((build_dictionary(good, bad), build_dictionary(bad, good)))
+        differ = Differ(*contents[half])
+        x += [differ.measure(t) for q in (0, 1) for t in parts[q][1 - half]]
+        y += [float(q) for q in (0, 1) for _ in parts[q][1 - half]]
+    return *contents[0], BoostedTrees(trees=30, depth=2).fit(np.array(x), np.array(y))
 
 
 def scorer(fitted):
