@@ -28,8 +28,8 @@ from .common import map_batches
 
 VOCABULARY = "word_bpe_49k.json"
 END = "</w>"
-CACHED_WORDS = 250_000
-CACHED_PAIRS = 1_000_000
+CACHED_WORDS = 150_000
+CACHED_PAIRS = 500_000
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 # The pre-tokenizer's pattern in the vocabulary file.
@@ -186,6 +186,13 @@ def _encoder(content: str) -> Encoder:
     return Encoder(json.loads(content))
 
 
+def _forget(content: str) -> None:
+    """Empties the caches of words and pairs: Python workers live on and serve other operators."""
+    encoder = _encoder(content)
+    encoder.words.clear()
+    encoder.pairs.clear()
+
+
 def _shared(docs: DataFrame, path: str | None):
     """The vocabulary, a file of fixed size, sent to every executor once."""
     return docs.sparkSession.sparkContext.broadcast(json.dumps(load(path)))
@@ -206,7 +213,7 @@ def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
             out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
         return out
 
-    return map_batches(docs.select("doc_id", "text"), run, DIGEST)
+    return map_batches(docs.select("doc_id", "text"), run, DIGEST, lambda: _forget(content.value))
 
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -223,7 +230,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
         return out | {"n_tokens": [len(x) for x in ids], "token_ids": ids}
 
     docs_columns = docs.columns
-    return map_batches(docs, run, schema)
+    return map_batches(docs, run, schema, lambda: _forget(content.value))
 
 
 def decode_documents(rows: DataFrame, path: str | None = None) -> DataFrame:

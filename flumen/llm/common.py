@@ -92,18 +92,21 @@ def is_learnable(doc_id: str = "doc_id") -> Column:
     return F.coalesce(crc_mod4(doc_id) != 2, F.lit(False))
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """Arrow batches through ``fn``, which returns column lists by name."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, after: Callable[[], None] = lambda: None) -> DataFrame:
+    """Arrow batches through ``fn``, which returns column lists by name; ``after`` runs at the end of a task."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        try:
+            for batch in batches:
+                if batch.num_rows:
+                    out = fn(batch)
+                    yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        finally:
+            after()
 
     return map_arrow(df, run, schema)
 
