@@ -304,7 +304,6 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         unpack = zstandard.ZstdDecompressor()
         p, m = batch.column("p").to_pylist(), batch.column("m").to_pylist()
         packed = dict(zip(p, batch.column("xp"), strict=True)) | dict(zip(m, batch.column("xm"), strict=True))
-        names = list(packed)
         out: dict = {k: [] for k in ("p", "m", "np", "nm", "shared")}
         sets: dict = {}
         size = 0
@@ -313,7 +312,6 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             texts = [unpack.decompress(packed[x].as_py()).decode("utf-8", "surrogatepass") for x in missing]
             return dict(zip(missing, shingle_sets(texts), strict=True))
 
-        del names
         for a in range(0, len(p), 64):
             need = list(dict.fromkeys([*p[a : a + 64], *m[a : a + 64]]))
             if size > 8_000_000:  # sets held for later pairs of the batch
