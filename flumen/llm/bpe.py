@@ -20,6 +20,7 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -225,11 +226,13 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> dict:
         encoder = _encoder(content.value)
-        ids = [encoder.encode(t.as_py()) for t in batch.column(at)]
-        out = {name: batch.column(i) for i, name in enumerate(docs_columns)}
-        return out | {"n_tokens": [len(x) for x in ids], "token_ids": ids}
+        # numbers go to arrays text by text: as Python objects they would take many times the space
+        ids = [np.fromiter(map(int, encoder.texts(t.as_py() or "")[0].split()), np.int32) for t in batch.column(at)]
+        sizes = [len(x) for x in ids]
+        lists = pa.ListArray.from_arrays(np.cumsum([0, *sizes], dtype=np.int32), np.concatenate([*ids, np.empty(0, np.int32)]))
+        return {name: batch.column(i) for i, name in enumerate(names)} | {"n_tokens": sizes, "token_ids": lists}
 
-    docs_columns = docs.columns
+    names = docs.columns
     return map_batches(docs, run, schema, lambda: _forget(content.value))
 
 

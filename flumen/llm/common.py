@@ -92,6 +92,13 @@ def is_learnable(doc_id: str = "doc_id") -> Column:
     return F.coalesce(crc_mod4(doc_id) != 2, F.lit(False))
 
 
+def pieces(batches, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of so many rows, so that a task's Python objects stay few."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, after: Callable[[], None] = lambda: None) -> DataFrame:
     """Arrow batches through ``fn``, which returns column lists by name; ``after`` runs at the end of a task."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -101,10 +108,9 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            for batch in batches:
-                if batch.num_rows:
-                    out = fn(batch)
-                    yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+            for batch in pieces(batches):
+                out = fn(batch)
+                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
         finally:
             after()
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, map_batches, text_chunks
+from .common import map_arrow, map_batches, pieces, text_chunks
 from .shingles import shingle_hashes
 
 NUMERATOR, DENOMINATOR = 4, 5
@@ -118,7 +118,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFra
     for sketches in _item_blocks(items, block):
 
         def run(batches, sketches=sketches):
-            for batch in batches:
+            for batch in pieces(batches):
                 texts = batch.column(at).to_pylist()
                 keep = [not sketches.search(runs) for a, b in text_chunks(texts) for runs in shingle_hashes(texts[a:b])]
                 yield batch.filter(pa.array(keep, pa.bool_()))

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_folder, map_arrow, map_batches, release, shared_folder, stored, text_chunks
+from .common import drop_folder, map_arrow, map_batches, pieces, release, shared_folder, stored, text_chunks
 from .components import connected_components
 from .shingles import mix, shingle_sets
 
@@ -92,7 +92,7 @@ def make_sets(docs: DataFrame) -> DataFrame:
             cols = [pa.nulls(int(often.sum()), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.binary())]
             return pa.RecordBatch.from_arrays([*cols, pa.array(tokens[often].view(np.int64)), pa.array(seen[often].astype(np.int32))], schema=schema)
 
-        for batch in batches:
+        for batch in pieces(batches):
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for a, b in text_chunks(texts):
                 rows = []
@@ -142,7 +142,7 @@ def _prefixes(batches, order: Order):
     """(class, size, rare prefix, common prefix) of each packed set of a task, once a class."""
     unpack = zstandard.ZstdDecompressor()
     known: set = set()
-    for batch in batches:
+    for batch in pieces(batches):
         names, packed = batch.column("class").to_pylist(), batch.column("packed").to_pylist()
         texts = [unpack.decompress(x).decode("utf-8", "surrogatepass") for x in packed]
         for a, b in text_chunks(texts):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees, sigmoid
-from .common import is_held_out, is_learnable, map_arrow, map_batches
+from .common import is_held_out, is_learnable, map_arrow, map_batches, pieces
 from .sampling import least_hashes
 
 BLOCK = 1024
@@ -128,7 +128,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshol
 
     def run(batches):
         score = scorer(fitted)
-        for batch in batches:
+        for batch in pieces(batches):
             keep = [s >= threshold for s in score(batch.column(at).to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
