@@ -3,9 +3,14 @@
 Messages quote earlier ones with ``>`` lines. Lines are parsed into a quote level and a body; a run of
 lines of one level is a passage. Passages are normalised (A-Z lower-cased, white space collapsed) and
 hashed. A quoted passage is joined to the first message of its conversation that wrote that passage:
-its whole own text, a run of its unquoted lines, or one such line. Of the originals found at a
-message's lowest linked quote level the latest is what the message replies to. Threads come from
-pointer doubling over the replies, so a chain of n replies takes log2(n) rounds.
+its whole own text, a run of its unquoted lines, a paragraph of one (cut at blank lines), or any of its
+own lines that follow each other, blank lines not counted. Where nobody wrote a quoted passage as a
+whole, its paragraphs are joined instead and the latest original of these counts for it. Of the
+originals found at a message's lowest linked quote level the latest is what the message replies to.
+Threads come from pointer doubling over the replies, so a chain of n replies takes log2(n) rounds.
+
+Lines that follow each other are hashed only where one begins like a quoted passage of the conversation
+and for the numbers of lines of such passages, which loses no original.
 
 The result has a row for each message: its thread (the turn of its root), depth, what it replies to,
 its position in the reply-ordered conversation (threads in the order of their roots, a thread in the
@@ -29,7 +34,7 @@ LEAST_QUOTE = 2  # characters of a normalised passage that can be linked
 
 
 def parse_messages(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, body (own text), own passages (normalised) and quoted ones (level, normalised)."""
+    """conv_id, turn, role, body (own text), own passages (normalised), own lines (normalised, without blank ones) and quoted passages (level, normalised lines)."""
     rows = messages.selectExpr("conv_id", "coalesce(turn, -1L) AS turn", "role", "coalesce(text, '') AS text")
     rows = rows.selectExpr(
         "conv_id",
@@ -39,17 +44,20 @@ def parse_messages(messages: DataFrame) -> DataFrame:
               'level', regexp_count(regexp_extract(line, '^((?:[ \\t]*>)*)', 1), '>'),
               'body', IF(line RLIKE '^[ \\t]*>', regexp_replace(line, '^(?:[ \\t]*>)+[ \\t]?', ''), line))) AS lines""",
     )
+    flat = lambda text: rf"trim(regexp_replace(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\r\\f\\n]+', ' '))"
+    rows = rows.selectExpr("conv_id", "turn", "role", f"transform(lines, x -> named_struct('level', x.level, 'body', x.body, 'flat', {flat('x.body')})) AS lines")
     # where a run of lines of one level starts, and the line after the last
     rows = rows.selectExpr(
         "*", "concat(filter(transform(lines, (x, i) -> IF(i = 0 OR lines[greatest(i, 1) - 1].level <> x.level, i, -1)), i -> i >= 0), array(size(lines))) AS cuts"
     )
-    flat = lambda text: rf"trim(regexp_replace(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\r\\f\\n]+', ' '))"
+    # the lines of a run stay apart, so that blank ones still show where its paragraphs end
     rows = rows.selectExpr(
         "*",
         f"""filter(transform(slice(cuts, 1, size(cuts) - 1), (c, k) -> named_struct('level', lines[c].level,
-              'passage', {flat("array_join(transform(slice(lines, c + 1, cuts[k + 1] - c), x -> x.body), '\\n')")})),
-              p -> length(p.passage) >= {LEAST_QUOTE}) AS runs""",
-        "trim(array_join(transform(filter(lines, x -> x.level = 0), x -> x.body), '\\n')) AS body",
+              'text', trim(BOTH '\\n' FROM array_join(transform(slice(lines, c + 1, cuts[k + 1] - c), x -> x.flat), '\\n')))),
+              p -> length({_close("p.text")}) >= {LEAST_QUOTE}) AS runs""",
+        r"trim(array_join(transform(filter(lines, x -> x.level = 0), x -> x.body), '\n')) AS body",
+        "filter(transform(filter(lines, x -> x.level = 0), x -> x.flat), x -> x <> '') AS own_lines",
     )
     return rows.selectExpr(
         "conv_id",
@@ -57,25 +65,81 @@ def parse_messages(messages: DataFrame) -> DataFrame:
         "role",
         "body",
         "filter(runs, p -> p.level > 0) AS quoted",
-        f"""filter(array_distinct(concat(array({flat("body")}), transform(filter(runs, p -> p.level = 0), p -> p.passage),
-              transform(filter(lines, x -> x.level = 0), x -> {flat("x.body")}))), p -> length(p) >= {LEAST_QUOTE}) AS own""",
+        f"""filter(array_distinct(concat(array(array_join(own_lines, ' ')), transform(filter(runs, p -> p.level = 0), p -> {_one_line(_close("p.text"))}),
+              transform(flatten(transform(filter(runs, p -> p.level = 0), p -> {_paragraphs("p.text")})), t -> {_one_line("t")}), own_lines)),
+              p -> length(p) >= {LEAST_QUOTE}) AS own""",
+        "own_lines",
     )
 
 
+def _close(text: str) -> str:
+    """Lines without the blank ones."""
+    return rf"regexp_replace({text}, '\n+', '\n')"
+
+
+def _paragraphs(text: str) -> str:
+    return rf"split({text}, '\n\n+')"
+
+
+def _one_line(text: str) -> str:
+    return rf"translate({text}, '\n', ' ')"
+
+
 def find_replies(parsed: DataFrame) -> DataFrame:
     """(conv_id, turn, parent): the turn that a message replies to."""
-    quotes = parsed.where(F.size("quoted") > 0).select("conv_id", "turn", F.explode("quoted").alias("q")).select("conv_id", "turn", "q.level", F.sha2("q.passage", 256).alias("h"))
+    # each quoted passage as a whole (part 0), and its paragraphs if it has several (part 1)
+    quotes = (
+        parsed.where(F.size("quoted") > 0)
+        .select("conv_id", "turn", F.explode("quoted").alias("q"))
+        .selectExpr("conv_id", "turn", "q.level", f"{_close('q.text')} AS whole", f"{_paragraphs('q.text')} AS parts")
+        .selectExpr(
+            "conv_id",
+            "turn",
+            "level",
+            f"sha2({_one_line('whole')}, 256) AS passage",
+            f"""explode(concat(array(named_struct('part', 0, 'text', whole)), IF(size(parts) > 1,
+                  transform(filter(parts, t -> length(t) >= {LEAST_QUOTE}), t -> named_struct('part', 1, 'text', t)), array()))) AS q""",
+        )
+        .selectExpr("conv_id", "turn", "level", "passage", "q.part", f"sha2({_one_line('q.text')}, 256) AS h", r"split(q.text, '\n') AS lines")
+    )
     wanted = quotes.select("conv_id", "h").distinct()
     # the first message that wrote a quoted passage: one row for each passage, so hot passages join once
     originals = (
         parsed.select("conv_id", "turn", F.explode("own").alias("p"))
         .select("conv_id", "turn", F.sha2("p", 256).alias("h"))
+        .union(find_windows(parsed, quotes))
         .groupBy("conv_id", "h")
         .agg(F.min("turn").alias("first"))
         .join(wanted, ["conv_id", "h"], "left_semi")
     )
     linked = quotes.join(originals, ["conv_id", "h"]).where("first < turn")
-    return linked.groupBy("conv_id", "turn").agg(F.min(F.struct("level", (-F.col("first")).alias("back"))).alias("m")).selectExpr("conv_id", "turn", "-m.back AS parent")
+    # of a passage the whole goes before its parts
+    passages = linked.groupBy("conv_id", "turn", "level", "passage").agg(F.min(F.struct("part", (-F.col("first")).alias("back"))).alias("m"))
+    return passages.groupBy("conv_id", "turn").agg(F.min(F.struct("level", "m.back")).alias("m")).selectExpr("conv_id", "turn", "-m.back AS parent")
+
+
+def find_windows(parsed: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(conv_id, turn, h) of own lines that follow each other, where they begin like a quoted passage of several lines and are as many."""
+    wanted = quotes.where(F.size("lines") > 1).selectExpr("conv_id", "xxhash64(lines[0]) AS s", "size(lines) AS n").groupBy("conv_id", "s").agg(F.collect_set("n").alias("ns"))
+    several = parsed.where(F.size("own_lines") > 1)
+    starts = (
+        several.select("conv_id", "turn", F.posexplode("own_lines").alias("at", "line"))
+        .selectExpr("conv_id", "turn", "at", "xxhash64(line) AS s")
+        .join(wanted, ["conv_id", "s"])
+        .groupBy("conv_id", "turn")
+        .agg(F.collect_set(F.struct("at", "ns")).alias("starts"))
+    )
+    # rows of one turn try each other's starts too: what they give is their own text all the same
+    return (
+        several.select("conv_id", "turn", "own_lines")
+        .join(starts, ["conv_id", "turn"])
+        .selectExpr(
+            "conv_id",
+            "turn",
+            """explode(array_distinct(flatten(transform(starts, x -> transform(filter(x.ns, n -> x.at + n <= size(own_lines)),
+                 n -> sha2(array_join(slice(own_lines, x.at + 1, n), ' '), 256)))))) AS h""",
+        )
+    )
 
 
 def find_threads(replies: DataFrame, folder: str) -> DataFrame:

@@ -118,6 +118,27 @@ def test_long_reply_chain(spark):
     assert all((r["root"], r["depth"], r["position"]) == (0, r["turn"], r["turn"]) for r in got)
 
 
+def test_parts_of_longer_messages_are_linked(spark):
+    two = "a1\na2\n\nb1\nb2"
+    conversations = [
+        [two, "> a1\n> a2\nyes"],  # a paragraph of a longer message
+        [two, "> B1\n>  b2\nyes"],
+        ["c1\nc2\nc3", "> c2\n> c3\nyes"],  # two of three lines
+        [two, "> a2\n>\n> b1\nyes"],  # across a blank line
+        ["a1 a2\n\nb", "> a1\n> a2\nyes"],  # broken anew
+        [two, "zz", "> a1\n> a2\n>\n> zz\nyes"],  # paragraphs of two messages: the latest
+        [two, "b1", "> a1\n> a2\n>\n> b1\nyes"],  # one message has all, though another has its end
+        ["c1\nc2\nc3", "> c1\n> c3\nyes"],  # nobody wrote these together
+        ["c1\nc2\nc3", "c2\nc3", "> c2\n> c3\nyes"],  # the first that wrote them
+        ["c1\n> q\nc2\nc1", "> c2\n> c1\nyes"],
+    ]
+    rows = [(k, turn, "user", text) for k, texts in enumerate(conversations) for turn, text in enumerate(texts)]
+    got = chat.link_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    last = {k: max((r for r in got if r["conv_id"] == k), key=lambda r: r["turn"]) for k in range(len(conversations))}
+    assert [last[k]["reply_to"] for k in sorted(last)] == [0, 0, 0, 0, 0, 1, 0, None, 0, 0]
+    assert {r["n_quotes"] for r in last.values()} == {1}
+
+
 # 3 licences
 
 
