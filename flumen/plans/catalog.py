@@ -29,13 +29,13 @@ SPECS: dict[str, tuple[dict, str]] = {
     "P07_talk_dst": ({"columns": "talk_dst"}, ""),
     "P07_apps_port": ({"columns": "apps_port"}, ""),
     "P07_agg_talk_port": ({"columns": "agg_talk_port"}, ""),
-    "P07_raw": ({"columns": "raw", "first": NOW - 2 * 86_400}, ""),
+    "P07_raw": ({"columns": "raw"}, ""),
     "P06_aliases": ({"columns": "src,dst,sip", "ifaces": "eth1"}, ""),
     "A05_group_sip_dport": ({"columns": "sip,dport", "ifaces": "eth2"}, ""),
     "A05_group_dip_proto": ({"columns": "dip,proto", "ifaces": "eth3"}, ""),
-    "A06_group_time": ({"columns": "time", "ifaces": "eth0", "first": NOW - 9 * 86_400}, ""),
+    "A06_group_time": ({"columns": "time", "ifaces": "eth0"}, ""),
     "P05_group_iface": ({"columns": "iface"}, ""),
-    "P09_group_time_iface": ({"columns": "iface,time", "first": NOW - 5 * 86_400}, ""),
+    "P09_group_time_iface": ({"columns": "iface,time"}, ""),
     "P11_direction_in": ({"columns": "talk_src", "direction": "in"}, ""),
     "P12_direction_out": ({"columns": "talk_src", "direction": "out"}, ""),
     "P13_direction_sum": ({"columns": "talk_src", "direction": "sum"}, ""),
@@ -43,7 +43,7 @@ SPECS: dict[str, tuple[dict, str]] = {
     "O01_sort_bytes": ({"columns": "talk_conv", "sort": "bytes", "limit": 25}, ""),
     "O02_sort_packets_in": ({"columns": "talk_conv", "sort": "packets", "direction": "in", "limit": 25}, ""),
     "O02_sort_packets_out": ({"columns": "talk_conv", "sort": "packets", "direction": "out", "limit": 25}, ""),
-    "O03_sort_time": ({"columns": "time,proto", "sort": "time", "ifaces": "eth0", "first": NOW - 5 * 86_400}, ""),
+    "O03_sort_time": ({"columns": "time,proto", "sort": "time", "ifaces": "eth0"}, ""),
     "O04_ascending": ({"columns": "agg_talk_port", "ascending": True, "limit": 40}, ""),
     "O05_time_lifts_limit": ({"columns": "time,sip", "ifaces": "eth1", "limit": 3}, ""),
     "O06_top_10": ({"columns": "sip,dip", "ifaces": "eth0", "where": "dport = 443", "limit": 10}, "dport = 443"),

@@ -19,6 +19,14 @@ def test_same_as_sql(name, same_as_sql):
     same_as_sql(catalog.QUERIES[name], catalog.ORACLES[name])
 
 
+@pytest.mark.parametrize("name", ["P07_raw", "A06_group_time", "P09_group_time_iface", "O03_sort_time"])
+def test_time_grouped_queries_cover_the_whole_table(name, spark, duck):
+    iface = catalog.SPECS[name][0].get("ifaces")
+    where = f"WHERE iface = '{iface}'" if iface else ""
+    whole = duck.execute(f"WITH {fixtures.SQL_FLOWS} SELECT min(time), max(time) FROM flows {where}").fetchone()
+    assert tuple(catalog.QUERIES[f"q_{name}"](spark, SF).agg(F.min("time"), F.max("time")).first()) == whole
+
+
 def test_entry(spark):
     assert len(__spark_entry__.entry(spark).collect()) > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
