@@ -91,9 +91,9 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 # in texts that have the hint.
 _KEY_WORD = r"(?:token|secret|passw(?:or)?d|pwd|api[ _-]?key|access[ _-]?key|private[ _-]?key|auth|bearer|credential)"
 _GENERATORS = (
-    ("secret", "=", re.compile(rf"(?i:{_KEY_WORD})[\"']?\s{{0,3}}=\s{{0,3}}[\"']?([^\s\"'<>,;]{{6,512}})")),
-    ("secret", ":", re.compile(rf"(?i:{_KEY_WORD})[\"']?\s{{0,3}}:\s{{0,3}}[\"']?([^\s\"'<>,;]{{6,512}})")),
-    ("secret", None, re.compile(r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{24,512}+)(?![A-Za-z0-9+/_-])")),
+    ("secret", "=", re.compile(rf"(?i:{_KEY_WORD})[\"']?\s{{0,3}}=\s{{0,3}}[\"']?([^\s\"'<>,;]{{6,}})")),
+    ("secret", ":", re.compile(rf"(?i:{_KEY_WORD})[\"']?\s{{0,3}}:\s{{0,3}}[\"']?([^\s\"'<>,;]{{6,}})")),
+    ("secret", None, re.compile(r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{24,}+)(?![A-Za-z0-9+/_-])")),
     ("iban", None, re.compile(r"(?<![A-Za-z0-9])([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")),
     ("ssn", "-", re.compile(r"(?<![0-9-])([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")),
     ("obfuscated", "dot", re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64} ?[\[(]? ?at ?[\])]? ?[A-Za-z0-9-]{1,63}(?: ?[\[(]? ?dot ?[\])]? ?[A-Za-z0-9-]{1,63}){1,4})(?![A-Za-z0-9])")),

@@ -428,6 +428,18 @@ def test_redaction(spark):
     assert {r["doc_id"]: r["text"] for r in pii.redact(documents(spark, [(1, None), (2, "")])).collect()} == {1: None, 2: ""}
 
 
+def test_long_secrets_are_found_whole(spark):
+    rng = np.random.default_rng(3)
+    key = lambda n: "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), n))
+    rows = [(1, "private_key", " = ", key(1600)), (2, "private_key", ": ", key(6000)), (3, "we saw", " ", key(513)), (4, "we saw", " ", key(6000))]
+    df = documents(spark, [(i, f"{lead}{sign}{value} and more") for i, lead, sign, value in rows])
+    spans = {r["doc_id"]: r["spans"] for r in pii.find_spans(df).collect()}
+    texts = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    for i, lead, sign, value in rows:
+        at = len(lead + sign)
+        assert spans[i] == f"secret:{at}:{at + len(value)}" and texts[i] == f"{lead}{sign}[SECRET] and more"
+
+
 def test_boosting_learns():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 3))
