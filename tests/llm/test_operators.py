@@ -361,13 +361,38 @@ def test_encoding_is_the_librarys(spark, texts, coder, library):
         assert (rows[i]["n_tokens"], rows[i]["ids_sha256"], rows[i]["decoded_sha256"]) == (len(ids), sha(" ".join(map(str, ids))), sha(decoded))
 
 
-@given(st.text(alphabet=st.characters(max_codepoint=0x2FFF, exclude_categories=["Cs", "Cn"]), max_size=40))
+@given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from("'strevmld \u0301\u0345\u0130Σ<|")), max_size=40))
 @settings(deadline=None, max_examples=300)
 def test_encoding_of_any_text(coder, library, text):
     ids = library.encode(text, add_special_tokens=False).ids
     assert coder.encode(text) == ids and coder.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_every_code_point_encodes_as_the_librarys(coder, library):
+    for start in range(0, 0x110000, 0x8000):
+        some = [f"a{chr(c)}b\u0345{chr(c)}" for c in range(start, start + 0x8000) if not 0xD800 <= c <= 0xDFFF]
+        if some:
+            assert [x.tolist() for x in coder.id_arrays(some)] == [x.ids for x in library.encode_batch(some, add_special_tokens=False)]
+
+
+def test_every_token_encodes_as_the_librarys(coder, library):
+    some = [t.replace("</w>", "") for t in library.get_vocab()]
+    assert [x.tolist() for x in coder.id_arrays(some)] == [x.ids for x in library.encode_batch(some, add_special_tokens=False)]
+
+
+def test_long_words_and_apostrophes(coder, library):
+    rng = random.Random(3)
+    some = ["".join(rng.choices("abcdeinorst", k=rng.randint(50, 400))) for _ in range(200)] + ["".join(rng.choices("'strevmld 1é.", k=12)) for _ in range(2000)]
+    some += ["<|endoftext|>" * 3, "a<|startoftext|>'s<|endoftext|>b", "<|endoftext|", "İstanbul ΟΔΟΣ"]
+    assert [x.tolist() for x in coder.id_arrays(some)] == [x.ids for x in library.encode_batch(some, add_special_tokens=False)]
+
+
+def test_special_tokens_need_no_bracket():
+    data = bpe.load()
+    coder = bpe.Encoder(data | {"special": {"qqq": 7}})
+    assert coder.encode("a qqqb") == [*coder.encode("a"), 7, *coder.encode("b")]
+
+
 def test_encoding_edges(spark, coder, library):
     rows = {(r["doc_id"], r["n_tokens"]) for r in bpe.digest(documents(spark, ODD)).collect()}
     assert rows == {(i, len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in ODD}
@@ -375,6 +400,7 @@ def test_encoding_edges(spark, coder, library):
     back = {r["doc_id"]: r["decoded"] for r in bpe.decode_documents(out).collect()}
     assert back[4] == coder.decode(library.encode("word", add_special_tokens=False).ids) and back[1] == ""
     assert unicodedata.normalize("NFC", "é") == "é" and bpe.digest(documents(spark, [])).count() == 0
+    assert bpe.encode_documents(documents(spark, [])).count() == 0 and dict(out.dtypes)["n_tokens"] == "bigint" and "spans" in out.columns
 
 
 # 7 personal data
