@@ -6,18 +6,22 @@ lower-cased text in which runs of other characters than letters count as one spa
 are labelled texts; the n-grams that at least two landmarks have are the kernel's alphabet. One ridge
 regression a language (one versus rest) is fitted on the landmark features of a bounded sample.
 
-Scoring is by matrix products over batches: presence of n-grams times landmark presence gives kernel
-values, these times the folded ridge weights give one margin a language.
-
-Learning uses documents that are not held out and have a language; at most ``sample`` texts a
-language, chosen by the hash of their text. Null texts and texts without a letter get ``und`` and
-score 0; so do all texts if there is nothing to learn from. Ties go to the language first in order.
-Repeated rows give repeated results and other columns are not read.
+Scoring is by matrix products over batches. Kernel values times the ridge weights are a sum over n-grams,
+so landmarks and weights are folded into one table of n-grams by languages; presence of n-grams times that
+table gives one margin a language.
+
+Learning uses documents that are not held out and have a language. Three parameters bound it: at most
+``sample`` texts a language, chosen by the hash of their text, of at most ``longest`` characters each (longer
+texts are predicted like all others, but not learned from), ``landmarks`` of them landmarks.
+Null texts and texts without a letter (Unicode category L) get ``und`` and score 0; so do all texts if there
+is nothing to learn from. Texts are read whole, however long. Ties go to the language first in order.
+Repeated rows give repeated results, an empty table an empty one, and other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +35,8 @@ from .shingles import mix
 SIZES = (2, 3, 4)
 SAMPLE = 192
 LANDMARKS = 40
-ALPHABET = 1 << 14
+LONGEST = 1 << 16
+CELLS = 1 << 22
 RIDGE = 0.05
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
@@ -41,6 +46,10 @@ _rng = np.random.default_rng(11)
 _PLACE = _rng.integers(0, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def has_letter(text: str | None) -> bool:
+    return any(unicodedata.category(m.group())[0] == "L" for m in _LETTER.finditer(text or ""))
+
+
 def grams(codes: np.ndarray, n: int) -> np.ndarray:
     """64-bit codes of the n-grams of a row of code points."""
     count = max(0, len(codes) - n + 1)
@@ -89,42 +98,42 @@ class Alphabet:
 
 
 class Kernel:
-    def __init__(self, landmarks: list[str], sizes=SIZES, most: int = ALPHABET):
+    def __init__(self, landmarks: list[str], sizes=SIZES):
         self.sizes = sizes
         sets = [np.unique(np.concatenate([grams(codes_of(normalised(t)), n) for n in sizes])) for t in landmarks]
         keys, counts = np.unique(np.concatenate(sets), return_counts=True)
-        keys, counts = keys[counts > 1], counts[counts > 1]
-        if not len(keys):
-            keys = np.unique(np.concatenate(sets))
-            counts = np.ones(len(keys))
-        self.alphabet = Alphabet(keys[np.argsort(-counts, kind="stable")][:most])
-        p = self.presence(landmarks)
+        self.alphabet = Alphabet(keys[counts > 1] if (counts > 1).any() else keys)
+        p = np.concatenate([*self.presence(landmarks), np.empty((0, self.alphabet.size), np.float32)])
         self.landmarks = (p / np.sqrt(np.maximum(p.sum(axis=1, keepdims=True), 1))).T.copy()
 
-    def presence(self, texts: list[str]) -> np.ndarray:
-        """texts x alphabet, 1 where the text has the n-gram."""
-        out = np.zeros((len(texts), self.alphabet.size), np.float32)
-        if not texts:
-            return out
-        parts = [normalised(t) for t in texts]
-        codes = codes_of("".join(parts))
-        ends = np.cumsum([len(p) for p in parts])
-        rows = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        for n in self.sizes:
-            numbers, at = self.alphabet.find(grams(codes, n))
-            inside = at + n <= ends[rows[at]]
-            out[rows[at[inside]], numbers[inside]] = 1
-        return out
+    def presence(self, texts: list[str]):
+        """Blocks of texts x alphabet, 1 where the text has the n-gram."""
+        step = max(1, CELLS // max(1, self.alphabet.size))
+        for start in range(0, len(texts), step):
+            parts = [normalised(t) for t in texts[start : start + step]]
+            out = np.zeros((len(parts), self.alphabet.size), np.float32)
+            codes = codes_of("".join(parts))
+            ends = np.cumsum([len(p) for p in parts])
+            rows = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+            for n in self.sizes:
+                numbers, at = self.alphabet.find(grams(codes, n))
+                inside = at + n <= ends[rows[at]]
+                out[rows[at[inside]], numbers[inside]] = 1
+            yield out
+
+    def times(self, texts: list[str], table: np.ndarray) -> np.ndarray:
+        """Presence, divided by the root of its count, times a table of n-grams."""
+        blocks = [(p @ table) / np.sqrt(np.maximum(p.sum(axis=1, keepdims=True), 1)) for p in self.presence(texts)]
+        return np.concatenate([*blocks, np.empty((0, table.shape[1]), np.float32)])
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        """Kernel values, texts x landmarks, by one matrix product."""
-        p = self.presence(texts)
-        return (p @ self.landmarks) / np.sqrt(np.maximum(p.sum(axis=1, keepdims=True), 1))
+        """Kernel values, texts x landmarks."""
+        return self.times(texts, self.landmarks)
 
 
 def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE):
-    """(kernel, weights, languages) from (language, text) rows, or None without a row."""
-    rows = [(lang, t) for lang, t in rows if t and _LETTER.search(t)]
+    """(kernel, table of n-grams by languages, languages) from (language, text) rows, or None without a row."""
+    rows = [(lang, t) for lang, t in rows if has_letter(t)]
     if not rows:
         return None
     languages = sorted({lang for lang, _ in rows})
@@ -135,42 +144,45 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
     values, vectors = np.linalg.eigh(kernel(chosen).astype(np.float64))
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    x = np.concatenate([kernel([t for _, t in rows[a:b]]) for a, b in text_chunks([t for _, t in rows])]).astype(np.float64) @ root
+    x = kernel([t for _, t in rows]).astype(np.float64) @ root
     y = np.array([[1.0 if lang == other else -1.0 for other in languages] for lang, _ in rows])
     weight = np.array([1 / sum(o == lang for o, _ in rows) for lang, _ in rows])[:, None] * len(rows) / len(languages)
     w = np.linalg.solve(x.T @ (x * weight) + ridge * np.eye(x.shape[1]), x.T @ (y * weight))
-    return kernel, (root @ w).astype(np.float32), languages
+    return kernel, (kernel.landmarks @ (root @ w)).astype(np.float32), languages
 
 
 def predict(fitted, texts: list) -> tuple[list[str], list[float]]:
     langs, scores = ["und"] * len(texts), [0.0] * len(texts)
     if fitted is None:
         return langs, scores
-    kernel, weights, languages = fitted
-    there = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
-    for a, b in text_chunks([texts[i] for i in there], 1 << 19):
-        for s in range(a, b, 256):
-            part = there[s : min(b, s + 256)]
-            margins = kernel([texts[i] for i in part]) @ weights
-            best = margins.argmax(axis=1)
-            for i, k, m in zip(part, best.tolist(), margins.max(axis=1).tolist(), strict=True):
-                langs[i], scores[i] = languages[k], min(1.0, max(0.0, (m + 1) / 2))
+    kernel, table, languages = fitted
+    there = [i for i, t in enumerate(texts) if has_letter(t)]
+    for a, b in text_chunks([texts[i] for i in there], 1 << 18):
+        part = there[a:b]
+        margins = kernel.times([texts[i] for i in part], table)
+        best = margins.argmax(axis=1)
+        for i, k, m in zip(part, best.tolist(), margins.max(axis=1).tolist(), strict=True):
+            langs[i], scores[i] = languages[k], min(1.0, max(0.0, (m + 1) / 2))
     return langs, scores
 
 
-def train(docs: DataFrame, sample: int = SAMPLE):
+def train(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, longest: int = LONGEST):
     """Fitted on at most ``sample`` texts a language, among documents that are not held out."""
-    rows = docs.where(is_learnable() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    rows = docs.where(is_learnable() & F.col("lang").isNotNull() & (F.length("text") <= longest)).select("lang", "text")
     keys = least_hashes(rows, "lang", "text", sample)
     if not keys:
         return None
+    known = set(keys)
     picked = rows.where(F.xxhash64("text").isin([h for _, h in keys])).groupBy("lang", F.xxhash64("text").alias("h")).agg(F.min("text").alias("text"))
-    return fit([(r["lang"], r["text"]) for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["h"])) if (r["lang"], r["h"]) in set(keys)])
+    fitted = fit([(r["lang"], r["text"]) for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["h"])) if (r["lang"], r["h"]) in known], landmarks)
+    if fitted:
+        fitted[0].landmarks = None  # folded into the table
+    return fitted
 
 
-def predict_languages(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def predict_languages(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, longest: int = LONGEST) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document."""
-    fitted = train(docs, sample)
+    fitted = train(docs, sample, landmarks, longest)
 
     def run(batch: pa.RecordBatch) -> dict:
         langs, scores = predict(fitted, batch.column("text").to_pylist())
