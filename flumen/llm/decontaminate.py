@@ -2,20 +2,29 @@
 
 An item is contained in a document if at least the asked share (0.8) of its distinct five-word
 shingles stands in the document. Items are partitioned by their number of shingles, into classes that
-double in size. The sketch of an item is bottom-k MinHash: its k least shingle hashes, k being a fixed
-share (half, at least one more than an item may miss) of the class's largest size. A document is a
-candidate for an item if it holds so many of the sketch's hashes that the rest of the item may still
-reach the share; since an item of q shingles may miss floor(q / 5) of them, k - floor(q / 5) hits are
-needed. A contained item always passes that, so the search loses nothing; candidates are then verified
-against all shingles of the item.
-
-The items are the stated queries and are searched in blocks of at most ``block`` items, each a
-broadcast of bounded size, over all rows of the documents. Null or empty items and texts hold no
-shingle and match nothing; repeated rows give repeated results; other columns are not read.
+double in size. Every class has an index of its own:
+
+* The sketch of an item is bottom-k MinHash: its k least shingle hashes. An item of q shingles may miss
+  floor(q / 5) of them, so k = floor(q / 5) + t: about a fifth of the item, and t (1 and one more for every
+  32 shingles of the class's largest size) hits are needed.
+* The sketch of a document for a class is its hashes up to the largest one of the class's sketches.
+* A document is a candidate for an item if its sketch holds t hashes of the item's. A contained item always
+  passes that, so the search loses nothing; candidates are then verified against all shingles of the item.
+
+The items are the stated queries. They are searched in blocks of about ``block`` items and ``LONGEST_BLOCK``
+characters at most, each a broadcast of bounded size, over all rows of the documents; within a block by one
+scan. Rows of one item that repeat stand in a block once, with their number.
+
+Texts and items are read whole, however long (a longer item than a block is a block of its own). Null or
+empty items and texts hold no shingle and match nothing; a share of exactly 0.8 counts; repeated rows on
+either side give repeated results; an empty table on either side gives no result, and then no document is
+removed. Columns other than the ids and texts are not read by ``find_contained`` and kept, whatever their
+names, by ``keep_clean``.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, map_batches, pieces, text_chunks
-from .shingles import shingle_hashes
+from .shingles import shingle_hashes, shingle_sets
 
 NUMERATOR, DENOMINATOR = 4, 5
-BLOCK = 20_000
+BLOCK = 200_000
+LONGEST_BLOCK = 1 << 25
 SCHEMA = "doc_id long, item_id long, n_item long, n_shared long, containment double"
 
 
@@ -36,68 +46,94 @@ def allowed_missing(q: int) -> int:
     return q - -(-q * NUMERATOR // DENOMINATOR)
 
 
+def size_class(q: int) -> int:
+    """The largest size of the class that q belongs to."""
+    return 1 << max(0, q - 1).bit_length()
+
+
 def sketch_length(q: int) -> int:
-    """Hashes kept of an item of q shingles; the same share of the upper bound of its size class."""
-    upper = 1 << max(0, q - 1).bit_length()
-    return min(q, max(upper // 2, allowed_missing(upper) + 1))
+    return min(q, allowed_missing(q) + 1 + size_class(q) // 32)
 
 
-class Sketches:
-    """Sketches and shingle sets of a block of items."""
-
-    def __init__(self, items: list[tuple[int, np.ndarray]]):
-        self.ids = [i for i, s in items if len(s)]
-        self.sets = [s for _, s in items if len(s)]
-        self.needed = np.array([sketch_length(len(s)) - allowed_missing(len(s)) for s in self.sets], np.int64)
-        pairs = [(h, n) for n, s in enumerate(self.sets) for h in s[: sketch_length(len(s))].tolist()]
-        pairs.sort()
-        self.hashes = np.array([h for h, _ in pairs], np.uint64)
-        self.owners = np.array([n for _, n in pairs], np.int64)
-        self.filter = np.zeros(1 << 20, bool)
-        self.filter[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+class Index:
+    """Sketches of the items of one size class."""
 
-    def search(self, runs: np.ndarray) -> list[tuple[int, int]]:
-        """(item number, shared shingles) of the items that the shingles of a text contain."""
-        if not len(self.hashes):
-            return []
-        near = np.unique(runs[self.filter[(runs >> np.uint64(44)).astype(np.int64)]])
+    def __init__(self, numbers: list[int], sets: list[np.ndarray]):
+        lengths = [sketch_length(len(s)) for s in sets]
+        hashes = np.concatenate([s[:k] for s, k in zip(sets, lengths, strict=True)])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.owners = hashes[order], np.repeat(np.arange(len(sets)), lengths)[order]
+        self.numbers = np.array(numbers)
+        self.needed = np.array([k - allowed_missing(len(s)) for s, k in zip(sets, lengths, strict=True)])
+        self.upto = self.hashes[-1]
+        self.filter = np.zeros(1 << 20, bool)
+        self.filter[(self.hashes & np.uint64(0xFFFFF)).astype(np.int64)] = True
+
+    def candidates(self, runs: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, item) numbers with enough hits of the sketches, from shingle hashes and the texts they stand in."""
+        near = np.flatnonzero(runs <= self.upto)
+        near = near[self.filter[(runs[near] & np.uint64(0xFFFFF)).astype(np.int64)]]
+        left = np.searchsorted(self.hashes, runs[near])
+        there = self.hashes[np.minimum(left, len(self.hashes) - 1)] == runs[near]
+        near, left = near[there], left[there]
         if not len(near):
-            return []
-        left, right = np.searchsorted(self.hashes, near), np.searchsorted(self.hashes, near, side="right")
-        width = right - left
-        if not width.any():
-            return []
-        spread = np.repeat(left - np.concatenate([[0], np.cumsum(width)[:-1]]), width) + np.arange(width.sum())
-        hits = np.bincount(self.owners[spread], minlength=len(self.sets))
-        found = []
-        for n in np.flatnonzero(hits >= self.needed).tolist():
-            shared = int(np.isin(self.sets[n], runs).sum())
-            if DENOMINATOR * shared >= NUMERATOR * len(self.sets[n]):
-                found.append((n, shared))
-        return found
+            return near, near
+        # a hash counts once a text: the place of its first owner names it
+        key = np.unique(texts[near] * len(self.hashes) + left)
+        text, left = key // len(self.hashes), key % len(self.hashes)
+        width = np.searchsorted(self.hashes, self.hashes[left], side="right") - left
+        owner = self.owners[np.repeat(left - (np.cumsum(width) - width), width) + np.arange(width.sum())]
+        pairs, hits = np.unique(np.repeat(text, width) * len(self.numbers) + owner, return_counts=True)
+        text, owner = pairs // len(self.numbers), pairs % len(self.numbers)
+        enough = hits >= self.needed[owner]
+        return text[enough], self.numbers[owner[enough]]
+
+
+class Sketches:
+    """A block of items: their shingle sets, and an index for each size class."""
+
+    def __init__(self, items: list[tuple[int, int, np.ndarray]]):
+        items = [x for x in items if len(x[2])]
+        self.ids, self.times, self.sets = [x[0] for x in items], [x[1] for x in items], [x[2] for x in items]
+        classes = defaultdict(list)
+        for n, s in enumerate(self.sets):
+            classes[size_class(len(s))].append(n)
+        self.classes = [Index(numbers, [self.sets[n] for n in numbers]) for _, numbers in sorted(classes.items())]
+
+    def search(self, texts: list) -> Iterator[tuple[int, int, int]]:
+        """(text number, item number, shared shingles) of the items that the texts contain."""
+        for a, b in text_chunks(texts):
+            runs = shingle_hashes(texts[a:b])
+            every, of = np.concatenate(runs), np.repeat(np.arange(len(runs)), [len(r) for r in runs])
+            for index in self.classes:
+                for text, n in zip(*(x.tolist() for x in index.candidates(every, of)), strict=True):
+                    shared = int(np.isin(self.sets[n], runs[text]).sum())
+                    if DENOMINATOR * shared >= NUMERATOR * len(self.sets[n]):
+                        yield a + text, n, shared
 
 
 def _item_blocks(items: DataFrame, block: int) -> Iterator[Sketches]:
     """The items, in blocks; a block's rows are fetched together, never all blocks at once."""
-    rows = items.select("item_id", "text")
-    parts = max(1, -(-rows.count() // block))
+    rows = items.groupBy("item_id", "text").agg(F.count("*").alias("times"))
+    count, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    parts = max(1, -(-count // block), -(-size // LONGEST_BLOCK))
     for part in range(parts):
         here = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
         got = here.collect()
-        sets = [np.unique(x) for x in shingle_hashes([r["text"] for r in got])]
-        yield Sketches([(r["item_id"], s) for r, s in zip(got, sets, strict=True)])
+        yield Sketches([(r["item_id"], r["times"], s) for r, s in zip(got, shingle_sets([r["text"] for r in got]), strict=True)])
 
 
 def _search_block(docs: DataFrame, sketches: Sketches) -> DataFrame:
+    shared_sketches = docs.sparkSession.sparkContext.broadcast(sketches)
+
     def run(batch: pa.RecordBatch) -> dict:
-        ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+        sketches = shared_sketches.value
+        ids = batch.column("doc_id").to_pylist()
         out: dict = {k.split()[0]: [] for k in SCHEMA.split(", ")}
-        for a, b in text_chunks(texts):
-            for doc_id, runs in zip(ids[a:b], shingle_hashes(texts[a:b]), strict=True):
-                for n, shared in sketches.search(runs):
-                    size = len(sketches.sets[n])
-                    for name, value in zip(out, (doc_id, sketches.ids[n], size, shared, shared / size), strict=True):
-                        out[name].append(value)
+        for text, n, shared in sketches.search(batch.column("text").to_pylist()):
+            size = len(sketches.sets[n])
+            for name, value in zip(out, (ids[text], sketches.ids[n], size, shared, shared / size), strict=True):
+                out[name] += [value] * sketches.times[n]
         return out
 
     return map_batches(docs.select("doc_id", "text"), run, SCHEMA)
@@ -117,11 +153,11 @@ def keep_clean(docs: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFra
     at = docs.columns.index("text")
     for sketches in _item_blocks(items, block):
 
-        def run(batches, sketches=sketches):
+        def run(batches, shared_sketches=docs.sparkSession.sparkContext.broadcast(sketches)):
             for batch in pieces(batches):
-                texts = batch.column(at).to_pylist()
-                keep = [not sketches.search(runs) for a, b in text_chunks(texts) for runs in shingle_hashes(texts[a:b])]
-                yield batch.filter(pa.array(keep, pa.bool_()))
+                keep = np.ones(batch.num_rows, bool)
+                keep[[text for text, _, _ in shared_sketches.value.search(batch.column(at).to_pylist())]] = False
+                yield batch.filter(pa.array(keep))
 
         docs = map_arrow(docs, run, docs.schema)
     return docs
