@@ -5,11 +5,13 @@ features of its format and its context; a calibrated threshold selects what is a
 spans. The base kinds (email, ip, card, phone) follow fixed formats and are always kept.
 
 The trees are trained on examples that a seeded generator writes (``training_examples``): no table
-has span labels. The threshold is the least calibrated probability at which the generator's
-held-out half shows the asked precision.
+has span labels. One half of the examples grows the trees, a quarter fits the calibration line, and on
+the last quarter the threshold is set: the least calibrated probability with the asked precision there.
 
-Null texts count as empty and have no spans; repeated rows give repeated results; other columns are
-not read by ``find_spans`` and kept as they are by ``redact``.
+Null texts count as empty and have no spans. Texts are read whole and spans have no greatest length. Of
+spans that overlap the likelier one is added, of equally likely ones the first, and none that overlaps a
+base span. Repeated rows give repeated results and an empty table an empty one. Other columns are not read
+by ``find_spans`` and kept, whatever their names, by ``redact``, which counts ``n_chars`` anew.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from .common import map_batches
 BASE_KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("secret", "iban", "ssn", "obfuscated")
 KINDS = BASE_KINDS + MORE_KINDS
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
 
 # The base formats. Where a look-behind stands, a match could not begin inside the run before it
 # either, so the results are those of the plain pattern; it keeps long runs from costing their square.
@@ -87,16 +89,18 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return spans
 
 
-# Generators of further candidates: high recall, precision comes from the trees. Each is tried only
-# in texts that have the hint.
+# Generators of further candidates: high recall, precision comes from the trees. Each is tried only in
+# texts that have one of its hints (in lower case). No span has a greatest length: the look-behinds and
+# possessive runs let each place be tried once.
 _KEY_WORD = r"(?:token|secret|passw(?:or)?d|pwd|api[ _-]?key|access[ _-]?key|private[ _-]?key|auth|bearer|credential)"
+_AT, _DOT = (rf"(?:\s?[\[(]\s?(?i:{w})\s?[\])]\s?|\s(?i:{w})\s)" for w in ("at", "dot"))
 _GENERATORS = (
     ("secret", "=", re.compile(rf"(?i:{_KEY_WORD})[\"']?\s{{0,3}}=\s{{0,3}}[\"']?([^\s\"'<>,;]{{6,}})")),
     ("secret", ":", re.compile(rf"(?i:{_KEY_WORD})[\"']?\s{{0,3}}:\s{{0,3}}[\"']?([^\s\"'<>,;]{{6,}})")),
-    ("secret", None, re.compile(r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{24,}+)(?![A-Za-z0-9+/_-])")),
-    ("iban", None, re.compile(r"(?<![A-Za-z0-9])([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")),
+    ("secret", "", re.compile(r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{24,}+(?:\.[A-Za-z0-9+/_-]{2,}+)*+={0,2})(?![A-Za-z0-9+/_-])")),
+    ("iban", "0123456789", re.compile(r"(?<![A-Za-z0-9])([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")),
     ("ssn", "-", re.compile(r"(?<![0-9-])([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")),
-    ("obfuscated", "dot", re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64} ?[\[(]? ?at ?[\])]? ?[A-Za-z0-9-]{1,63}(?: ?[\[(]? ?dot ?[\])]? ?[A-Za-z0-9-]{1,63}){1,4})(?![A-Za-z0-9])")),
+    ("obfuscated", "dot", re.compile(rf"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]++{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)+)(?![A-Za-z0-9])")),
 )
 _CONTEXT = re.compile(rf"(?i){_KEY_WORD}")
 _MAIL_WORD = re.compile(r"(?i)\b(?:mail|e-?mail|contact|write|reach)\b")
@@ -107,9 +111,10 @@ _PERSON_WORD = re.compile(r"(?i)\b(?:ssn|social|security)\b")
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Proposed spans (kind, start, end); they may overlap."""
     out = set()
+    low = text.lower()
     digits = _DIGIT.search(text) is not None
     for kind, hint, pattern in _GENERATORS:
-        if (digits or hint == "dot" or hint in ("=", ":")) and (hint is None or hint in text):
+        if digits if hint == "0123456789" else hint in low:
             out.update((kind, *m.span(1)) for m in pattern.finditer(text))
     return sorted(out)
 
@@ -133,13 +138,13 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     return [
         float(KINDS.index(kind)), float(n), digits / n, upper / n, letters / n, entropy, turns / n,
         float(all(c in "0123456789abcdefABCDEF" for c in value)), float(bool(_CONTEXT.search(before))),
-        float(before.rstrip(" \t\"'").endswith(("=", ":"))), float(after[:1] in "\"'"), float("[" in value or "(" in value),
+        float(before.rstrip(" \t\"'").endswith(("=", ":"))), float(after[:1] in ("\"", "'")), float("[" in value or "(" in value),
         float(bool(_MAIL_WORD.search(before))), float(kind == "iban" and _iban_ok(value)), float(bool(_BANK_WORD.search(before))),
         float(bool(_PERSON_WORD.search(before + after))), float(kind == "ssn" and value[:3] not in ("000", "666") and value[0] != "9" and value[4:6] != "00" and value[7:] != "0000"),
     ]
 
 
-def training_examples(seed: int = 7, n: int = 4000) -> list[tuple[str, str, int, int, int]]:
+def training_examples(seed: int = 7, n: int = 6000) -> list[tuple[str, str, int, int, int]]:
     """(text, kind, start, end, 1 for personal data) of invented sentences."""
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
@@ -162,6 +167,8 @@ def training_examples(seed: int = 7, n: int = 4000) -> list[tuple[str, str, int,
             text, kind, good = f"{lead} {pick([label, label.upper()])}{pick([' = ', '=', ': '])}{pick(['"', chr(39), ''])}{value}", "secret", 1
         elif what == 3:
             value = chars(low + low.upper() + digit, int(rng.integers(32, 64)))
+            if rng.integers(3) == 0:  # tokens of several parts
+                value = ".".join([value, *(chars(low + low.upper() + digit, int(rng.integers(20, 60))) for _ in range(2))])
             text, kind, good = f"{lead} {value}", "secret", 1
         elif what <= 5:
             value = pick([chars(low, int(rng.integers(24, 50))), "-".join(word(3, 9) for _ in range(6)), "/".join(word(3, 9) for _ in range(6)), "-" * 30, word() * 6 + str(rng.integers(99))])
@@ -179,6 +186,8 @@ def training_examples(seed: int = 7, n: int = 4000) -> list[tuple[str, str, int,
             text, kind, good = f"{lead} {pick(['SSN ', 'social security number ']) if near else pick(['part ', 'no ', 'code '])}{value}", "ssn", int(near)
         elif what == 10:
             value = f"{word()}{pick([' [at] ', ' (at) ', '[at]'])}{word()}{pick([' [dot] ', ' (dot) ', '[dot]'])}{pick(['com', 'org', 'net'])}"
+            if rng.integers(4) == 0:
+                value = value.upper()
             text, kind, good = f"{lead} {value}", "obfuscated", 1
         else:
             value = f"{word()} at {word()} dot {word()}"
@@ -190,17 +199,17 @@ def training_examples(seed: int = 7, n: int = 4000) -> list[tuple[str, str, int,
 
 @lru_cache(maxsize=1)
 def model(precision: float = 0.99) -> tuple[BoostedTrees, float, float, float]:
-    """(trees, slope and offset of the calibration, least probability)."""
+    """(trees, slope and offset of the calibration, least probability); each of the three from examples of its own."""
     rows = training_examples()
     x = np.array([features(t, k, s, e) for t, k, s, e, _ in rows])
     y = np.array([float(r[4]) for r in rows])
-    half = len(rows) // 2
+    half, most = len(rows) // 2, len(rows) * 3 // 4
     trees = BoostedTrees().fit(x[:half], y[:half])
-    margin = trees.margin(x[half:])
-    slope, offset = fit_line(margin, y[half:])
-    p = sigmoid(slope * margin + offset)
+    margin = trees.margin(x)
+    slope, offset = fit_line(margin[half:most], y[half:most])
+    p = sigmoid(slope * margin[most:] + offset)
     order = np.argsort(-p)
-    right = np.cumsum(y[half:][order]) / np.arange(1, len(order) + 1)
+    right = np.cumsum(y[most:][order]) / np.arange(1, len(order) + 1)
     good = np.flatnonzero(right >= precision)
     return trees, slope, offset, max(0.5, float(p[order][good[-1]]) if len(good) else 1.0)
 
@@ -258,6 +267,7 @@ def find_spans(docs: DataFrame, precision: float = 0.99) -> DataFrame:
                 out[f"n_{k}"].append(len(spans[k]))
             out["base_sha256"].append(hashlib.sha256(joined(base).encode()).hexdigest())
             out["spans"].append(joined(base + more))
+            out["n_spans"].append(len(base) + len(more))
         return out
 
     return map_batches(docs.select("doc_id", "text"), run, SCHEMA)
