@@ -5,8 +5,10 @@ left out, ``{{a | b}}`` stands for one of several wordings, and ``{{*n}}`` for u
 (names, years). Each template is compiled into an automaton over words; a text is accepted where all
 mandatory wording follows word for word. Base phrases are plain word sequences.
 
-Null texts count as empty, empty texts have no words and no labels, repeated rows give repeated
-results, and any other columns of the input are not read.
+Null texts count as empty; texts without words have no labels, no first and last word and score 0. Texts are
+read whole, however long. Of several places that a template fits the first counts, and there the longest;
+labels that tie at one place all stand. Repeated rows give repeated results, an empty table an empty one, and
+other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -27,15 +29,21 @@ BASE = (
     ("mit license", "mit"),
 )
 
-#: Wording of common licences and notices, with markup.
+# Wording of common licences and notices, with markup.
+_BSD_OPENING = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[{{1 | a}}]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[{{2 | b}}]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_BSD_ADVERTISING = "[[{{3 | c}}]] all advertising materials mentioning features or use of this software must display the following acknowledgement this product includes software developed by {{*12}}"
+_BSD_NAMES = "[[{{3 | 4 | c | d}}]] neither the name of {{*12}} nor the names of {{its | their}} contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_BSD_DISCLAIMER = "this software is provided by {{*12}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {{*12}} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
 TEMPLATES = (
     ("gpl-3.0-notice", "{{this work | this program | this software | this library | this file}} is licensed under the GNU General Public License [[as published by the Free Software Foundation]] version 3 [[or later]]"),
     ("gpl-redistribution", "is free software you can redistribute it and or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
     ("apache-2.0-notice", "licensed under the Apache License version 2 0 [[the license]]"),
     ("mit-notice", "{{released | licensed | distributed | available}} under the [[terms of the]] MIT License"),
-    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
-    ("isc-text", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
-    ("bsd-text", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall {{*12}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("isc-text", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and {{*8}} {{disclaims | disclaim}} all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall {{*8}} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("bsd-2-clause-text", f"{_BSD_OPENING} {_BSD_DISCLAIMER}"),
+    ("bsd-3-clause-text", f"{_BSD_OPENING} {_BSD_NAMES} {_BSD_DISCLAIMER}"),
+    ("bsd-4-clause-text", f"{_BSD_OPENING} {_BSD_ADVERTISING} {_BSD_NAMES} {_BSD_DISCLAIMER}"),
     ("cc-by-notice", "licensed under [[a]] {{cc by | creative commons attribution}} [[{{nc | noncommercial}}]] [[{{sa | sharealike | nd | noderivatives}}]] [[{{*1}}]] [[license]] {{1 0 | 2 0 | 2 5 | 3 0 | 4 0}}"),
     ("all-rights-reserved", "copyright [[c]] {{*8}} all rights reserved"),
 )
@@ -93,8 +101,8 @@ class Automaton:
         self.start = self._closure({start})
         self.table: dict = {}
         self.first = {w for s in self.start for w in self.moves[s]}
-        #: a word that every accepted text has
-        self.anchor = max(mandatory(tree), key=len).encode()
+        #: a word that every accepted text has; empty if there is none
+        self.anchor = max(mandatory(tree), key=len, default="").encode()
 
     def _state(self) -> int:
         self.moves.append({})
@@ -206,7 +214,7 @@ class Scanner:
                         places.append(i)
                         base_labels.add(label)
         for label, automaton in self.automata:
-            if automaton.anchor in there and (span := automaton.find(words)):
+            if (automaton.anchor in there or not automaton.anchor) and (span := automaton.find(words)):
                 labels.add(label)
                 spans.append((label, *span))
         return n_words, sorted(places), sorted(base_labels), sorted(labels | base_labels), spans
