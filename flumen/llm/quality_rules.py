@@ -6,8 +6,9 @@ bit a rule; policies are named sets of rules (bitmasks) and are applied by a bit
 
 All of it is built-in expressions without an exchange: words and windows are arrays of their row. Words
 are ``[^\\x20\\x09-\\x0D]+``. Null texts count as empty: they have no words, so the rule on the number of
-words fails. Repeated rows give repeated results; other columns are not read by ``ledger`` and kept by
-``apply_policy``.
+words fails. Texts are read whole, however long; a text is one row's arrays. A measurement that is exactly at
+a rule's bound passes. Repeated rows give repeated results, an empty table an empty one, and other columns
+are not read.
 """
 
 from __future__ import annotations
