@@ -13,8 +13,9 @@ import time as clock
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.blocks import block_meta, day_of, summary
-from ..schema import BLOCK_META, DAY_SECONDS, FLOWS
+from ..operators.blocks import block_meta, covered_span, day_of, summary
+from ..schema import BLOCK_META, BLOCK_SECONDS, DAY_SECONDS, FLOWS
+from .metadata import summary_json
 
 
 class FlowStore:
@@ -36,6 +37,36 @@ class FlowStore:
         counted = block_meta(rows) if meta is None else meta
         counted.select(*BLOCK_META.fieldNames()).hint("rebalance", "iface", "day").write.partitionBy("iface", "day").mode(mode).option("compression", self.codec).parquet(self.meta_path)
 
+    def write_batch(self, flows: DataFrame, batch: str) -> None:
+        """Writes a batch under its name: flows and block metadata that the same batch wrote before are replaced.
+
+        Files are staged, then moved to their partitions as ``<batch>-<k>.parquet``. A try that broke off is
+        made good by the next one: it stages anew and moves over what is there.
+        """
+        staged = f"{self.root}/.staged-{batch}"
+        FlowStore(self.spark, staged, self.codec).write(flows, mode="overwrite")
+        fs = self._fs(self.root)
+        for source, target in ((f"{staged}/flows", self.flows_path), (f"{staged}/block_meta", self.meta_path)):
+            fresh = set()
+            for k, file in enumerate(self._files(source)):
+                partition = "/".join(file.split("/")[-3:-1])
+                at = f"{target}/{partition}/{batch}-{k}.parquet"
+                fs.mkdirs(self._path(f"{target}/{partition}"))
+                fs.delete(self._path(at), False)
+                fs.rename(self._path(file), self._path(at))
+                fresh.add("/".join(at.split("/")[-3:]))
+            # of an earlier try that had more files
+            for status in fs.globStatus(self._path(f"{target}/iface=*/day=*/{batch}-*.parquet")) or ():
+                name = "/".join(status.getPath().toString().split("/")[-3:])
+                if name not in fresh:
+                    fs.delete(status.getPath(), False)
+        fs.delete(self._path(staged), True)
+        self.spark.catalog.clearCache()
+
+    def _files(self, path: str) -> list[str]:
+        found = self._fs(path).globStatus(self._path(f"{path}/iface=*/day=*/part-*.parquet")) or ()
+        return sorted(x.getPath().toString() for x in found)
+
     # reading
 
     def _read(self, path: str, schema) -> DataFrame:
@@ -50,6 +81,38 @@ class FlowStore:
     def block_meta(self) -> DataFrame:
         return self._read(self.meta_path, BLOCK_META)
 
+    def damaged_blocks(self) -> DataFrame:
+        """Blocks whose rows are not what their metadata says (unequal counts, no rows at all, or no metadata).
+
+        A damaged file is left out of queries without a word; this tells which blocks lack rows.
+        """
+        counts = ("flowcount", "packets_logged", "traffic")
+        said = self.block_meta().groupBy("iface", "timestamp").agg(*[F.sum(c).alias(f"said_{c}") for c in counts])
+        there = block_meta(self.flows()).select("iface", "timestamp", *counts)
+        both = said.join(there, ["iface", "timestamp"], "full")
+        problem = F.when(F.col("flowcount").isNull(), "no rows").when(F.col("said_flowcount").isNull(), "no metadata")
+        for c in counts:
+            problem = problem.when(F.col(c) != F.col(f"said_{c}"), f"unequal {c}")
+        return both.select("iface", "timestamp", problem.alias("problem")).where("problem IS NOT NULL")
+
+    def span(self, first: int | None = None, last: int | None = None, ifaces=None) -> DataFrame:
+        """First and last time covered, from block metadata alone."""
+        meta = self.block_meta()
+        if ifaces is not None:
+            meta = meta.where(F.col("iface").isin(list(ifaces)))
+        if first is not None:
+            meta = meta.where((F.col("timestamp") > first) & (F.col("day") > first - DAY_SECONDS))
+        if last is not None:
+            meta = meta.where((F.col("timestamp") < last + BLOCK_SECONDS) & (F.col("day") < last + BLOCK_SECONDS))
+        return covered_span(meta)
+
+    def write_summary(self, path: str) -> None:
+        """The summary of all interfaces as one JSON file."""
+        fs = self._fs(path)
+        out = fs.create(self._path(path), True)
+        out.write(bytearray(summary_json(self.summary()).encode()))
+        out.close()
+
     def summary(self) -> DataFrame:
         return summary(self.block_meta())
 
@@ -98,10 +161,27 @@ class FlowStore:
             self._fs(root).delete(self._path(root), True)
 
     def compact(self, day: int) -> None:
-        """Rewrites a day whose stream left many small files."""
-        rows = self.flows().where(F.col("day") == day)
+        """Rewrites a day whose stream left many small files, interface by interface.
+
+        The rewritten folder takes the old one's place by two renames; a run that broke off between them is
+        made good by the next one.
+        """
+        fs = self._fs(self.root)
         staged = f"{self.root}/.compact-{day}"
-        rows.write.mode("overwrite").parquet(staged)
-        fresh = self.spark.read.schema(FLOWS).parquet(staged).hint("rebalance", "iface", "day").sortWithinPartitions("iface", "day", "time")
-        fresh.write.partitionBy("iface", "day").mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", self.codec).parquet(self.flows_path)
-        self._fs(staged).delete(self._path(staged), True)
+        for status in fs.globStatus(self._path(f"{staged}-old/iface=*")) or ():
+            target = self._path(f"{self.flows_path}/{status.getPath().getName()}/day={day}")
+            if not fs.exists(target):
+                fs.rename(self._path(f"{status.getPath().toString()}/day={day}"), target)
+        for path in (f"{staged}-old", staged):
+            fs.delete(self._path(path), True)
+        rows = self.flows().where(F.col("day") == day).hint("rebalance", "iface", "day").sortWithinPartitions("iface", "day", "time")
+        rows.write.partitionBy("iface", "day").mode("overwrite").option("compression", self.codec).parquet(staged)
+        for status in fs.globStatus(self._path(f"{staged}/iface=*/day={day}")) or ():
+            iface = status.getPath().getParent().getName()
+            live, old = self._path(f"{self.flows_path}/{iface}/day={day}"), self._path(f"{staged}-old/{iface}/day={day}")
+            fs.mkdirs(old.getParent())
+            fs.rename(live, old)
+            fs.rename(status.getPath(), live)
+        for path in (f"{staged}-old", staged):
+            fs.delete(self._path(path), True)
+        self.spark.catalog.clearCache()

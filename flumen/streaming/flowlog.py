@@ -8,7 +8,6 @@ pair of ports; that is the grouping key.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,7 +20,12 @@ from ..schema import BLOCK_SECONDS
 
 OUTPUT = "time long, iface string, sip binary, dip binary, dport int, proto int, bytes_rcvd long, bytes_sent long, pkts_rcvd long, pkts_sent long"
 GROUP = ("iface", "low", "high", "proto", "ports")
+#: Order of the packets of a group.
+ORDER = ("epoch", "sip", "dip", "sport", "dport")
 _TCP, _DNS = 6, 53
+#: State of a live flow: its key, then ends, counters and whether its direction is known.
+FLOW_KEY = "sip binary, dip binary, dport int, sport int, proto int"
+FLOW = "sip binary, dip binary, dport int, proto int, bytes_rcvd long, bytes_sent long, pkts_rcvd long, pkts_sent long, known boolean"
 
 
 class FlowLog:
@@ -63,14 +67,6 @@ class FlowLog:
         self.flows = kept
         return [(*k, *v) for k, v in sums.items()]
 
-    def to_json(self) -> str:
-        return json.dumps([[k[0].hex(), k[1].hex(), *k[2:], f[0].hex(), f[1].hex(), *f[2:]] for k, f in self.flows.items()])
-
-    @classmethod
-    def from_json(cls, text: str) -> FlowLog:
-        h = bytes.fromhex
-        return cls({(h(r[0]), h(r[1]), *r[2:5]): [h(r[5]), h(r[6]), *r[7:]] for r in json.loads(text)})
-
 
 class Rotation:
     """A flow log with block ends on the event-time axis."""
@@ -92,12 +88,22 @@ class Rotation:
 
     def feed(self, packets: pd.DataFrame) -> Iterator[tuple]:
         """Packets in time order; a late one counts in the open block."""
-        for p in packets.sort_values(["epoch", "sip", "dip", "sport", "dport"], kind="stable").itertuples(index=False):
+        return self.take(packets.sort_values(list(ORDER), kind="stable"))
+
+    def take(self, packets: pd.DataFrame) -> Iterator[tuple]:
+        """The same of packets that are in order already."""
+        for p in packets.itertuples(index=False):
             end = self.end_of(p.epoch)
             if self.end is None or end > self.end:
                 yield from self.advance(end)
             self.log.add(bytes(p.sip), bytes(p.dip), int(p.sport), int(p.dport), int(p.proto), int(p.num_bytes), int(p.tcp_flags), bool(p.inbound))
 
+    def finish(self) -> Iterator[tuple]:
+        """Rotation of the open block."""
+        if self.end is not None:
+            for row in self.log.rotate():
+                yield (self.end, *row)
+
 
 def grouped_packets(packets: DataFrame) -> DataFrame:
     """Packets with the columns of the grouping key."""
@@ -113,16 +119,27 @@ def _rows(found: list[tuple], iface: str) -> pd.DataFrame:
 
 
 def flow_blocks(packets: DataFrame, seconds: int = BLOCK_SECONDS, start: int = 0) -> DataFrame:
-    """Batch form: all blocks of a bounded set of packets (``epoch`` is their time), merged over groups."""
+    """Batch form: all blocks of a bounded set of packets (``epoch`` is their time), merged over groups.
+
+    Packets come group by group and in time order; a task holds one Arrow batch and the live flows of one group.
+    """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        state = Rotation(FlowLog(), None, seconds, start)
-        found = list(state.feed(pdf))
-        found += [(state.end, *row) for row in state.log.rotate()]
-        return _rows(found, pdf["iface"].iloc[0])
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = None, None
+        for frame in frames:
+            for key, part in frame.groupby(list(GROUP), sort=False):
+                found = []
+                if key != at:
+                    if state is not None:
+                        yield _rows(list(state.finish()), at[0])
+                    at, state = key, Rotation(FlowLog(), None, seconds, start)
+                found += state.take(part)
+                yield _rows(found, at[0])
+        if state is not None:
+            yield _rows(list(state.finish()), at[0])
 
-    parts = grouped_packets(packets).groupBy(*GROUP).applyInPandas(fold, OUTPUT)
-    return merge_groups(parts)
+    rows = grouped_packets(packets).select(*GROUP, *ORDER, "num_bytes", "tcp_flags", "inbound")
+    return merge_groups(rows.repartition(*GROUP).sortWithinPartitions(*GROUP, *ORDER).mapInPandas(fold, OUTPUT))
 
 
 def merge_groups(parts: DataFrame) -> DataFrame:
@@ -131,43 +148,51 @@ def merge_groups(parts: DataFrame) -> DataFrame:
 
 
 class FlowLogProcessor(StatefulProcessor):
-    """Streaming form. State is the live flows and the end of the open block; a timer closes it."""
+    """Streaming form. State is a map of the live flows and the end of the open block; a timer closes it.
+
+    Only flows that a batch changes are written back.
+    """
 
     def __init__(self, seconds: int = BLOCK_SECONDS, start: int = 0):
         self.seconds, self.start = seconds, start
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("log", "end long, flows string")
-
-    def _load(self) -> Rotation:
-        if not self.state.exists():
-            return Rotation(FlowLog(), None, self.seconds, self.start)
-        end, flows = self.state.get()
-        return Rotation(FlowLog.from_json(flows), end, self.seconds, self.start)
-
-    def _save(self, r: Rotation) -> None:
+        self.end = handle.getValueState("end", "end long")
+        self.flows = handle.getMapState("flows", FLOW_KEY, FLOW)
+
+    def _load(self) -> tuple[Rotation, dict]:
+        end = self.end.get()[0] if self.end.exists() else None
+        whole = lambda row: [bytes(x) if isinstance(x, bytes | bytearray) else x for x in row]
+        flows = {tuple(whole(k)): whole(v) for k, v in self.flows.iterator()} if end is not None else {}
+        return Rotation(FlowLog(flows), end, self.seconds, self.start), {k: tuple(v) for k, v in flows.items()}
+
+    def _save(self, r: Rotation, before: dict) -> None:
+        for key in before.keys() - r.log.flows.keys():
+            self.flows.removeKey(key)
+        for key, flow in r.log.flows.items():
+            if before.get(key) != tuple(flow):
+                self.flows.updateValue(key, tuple(flow))
         if r.log.flows:
-            self.state.update((r.end, r.log.to_json()))
+            self.end.update((r.end,))
             self.handle.registerTimer(r.end * 1000)
         else:
-            self.state.clear()
+            self.end.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        r = self._load()
-        packets = pd.concat(list(rows))
-        found = list(r.feed(packets))
-        self._save(r)
+        r, before = self._load()
+        found = list(r.feed(pd.concat(list(rows))))
+        self._save(r, before)
         yield _rows(found, key[0])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        r = self._load()
+        r, before = self._load()
         due = expiredTimerInfo.getExpiryTimeInMs() // 1000
         found = []
         if r.end is not None and r.end <= due:
-            found = [(r.end, *row) for row in r.log.rotate()]
+            found = list(r.finish())
             r.end += self.seconds
-            self._save(r)
+            self._save(r, before)
         yield _rows(found, key[0])
 
     def close(self) -> None:
