@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import UTC, datetime, tzinfo
 
+# Names of units, and below the forms of durations and times.
 _SIZES = (" B", "kB", "MB", "GB", "TB", "PB", "EB", "ZB", "YB")
 _COUNTS = (" ", "k", "M", "G", "T", "P", "E", "Z", "Y")
 

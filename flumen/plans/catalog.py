@@ -13,7 +13,7 @@ from ..operators import blocks
 from ..operators.direction import direction_column, packets_to_flows, roll_up
 from ..output import lines
 from ..schema import COUNTERS
-from . import fixtures
+from . import fixtures, round_trips
 from .query import FOREVER, FlowQuery, parse_columns, plan, totals_of
 
 #: All test events lie in January 2024; the queries' clock stands at its end.
@@ -30,10 +30,10 @@ SPECS: dict[str, tuple[dict, str]] = {
     "P07_apps_port": ({"columns": "apps_port"}, ""),
     "P07_agg_talk_port": ({"columns": "agg_talk_port"}, ""),
     "P07_raw": ({"columns": "raw"}, ""),
-    "P06_aliases": ({"columns": "src,dst,sip", "ifaces": "eth1"}, ""),
-    "A05_group_sip_dport": ({"columns": "sip,dport", "ifaces": "eth2"}, ""),
-    "A05_group_dip_proto": ({"columns": "dip,proto", "ifaces": "eth3"}, ""),
-    "A06_group_time": ({"columns": "time", "ifaces": "eth0"}, ""),
+    "P06_aliases": ({"columns": "src,dst,sip"}, ""),
+    "A05_group_sip_dport": ({"columns": "sip,dport"}, ""),
+    "A05_group_dip_proto": ({"columns": "dip,proto"}, ""),
+    "A06_group_time": ({"columns": "time"}, ""),
     "P05_group_iface": ({"columns": "iface"}, ""),
     "P09_group_time_iface": ({"columns": "iface,time"}, ""),
     "P11_direction_in": ({"columns": "talk_src", "direction": "in"}, ""),
@@ -43,10 +43,10 @@ SPECS: dict[str, tuple[dict, str]] = {
     "O01_sort_bytes": ({"columns": "talk_conv", "sort": "bytes", "limit": 25}, ""),
     "O02_sort_packets_in": ({"columns": "talk_conv", "sort": "packets", "direction": "in", "limit": 25}, ""),
     "O02_sort_packets_out": ({"columns": "talk_conv", "sort": "packets", "direction": "out", "limit": 25}, ""),
-    "O03_sort_time": ({"columns": "time,proto", "sort": "time", "ifaces": "eth0"}, ""),
+    "O03_sort_time": ({"columns": "time,proto", "sort": "time"}, ""),
     "O04_ascending": ({"columns": "agg_talk_port", "ascending": True, "limit": 40}, ""),
-    "O05_time_lifts_limit": ({"columns": "time,sip", "ifaces": "eth1", "limit": 3}, ""),
-    "O06_top_10": ({"columns": "sip,dip", "ifaces": "eth0", "where": "dport = 443", "limit": 10}, "dport = 443"),
+    "O05_time_lifts_limit": ({"columns": "time,sip", "limit": 3}, ""),
+    "O06_top_10": ({"columns": "sip,dip", "where": "dport = 443", "limit": 10}, "dport = 443"),
     "O06_limit_0": ({"columns": "sip,dip", "limit": 0}, ""),
     "O07_influx_unsorted": ({"columns": "dport,proto", "format": "influxdb"}, ""),
     "S04_one_iface": ({"columns": "talk_src", "ifaces": "eth3"}, ""),
@@ -54,7 +54,7 @@ SPECS: dict[str, tuple[dict, str]] = {
     "P10_implicit_iface": ({"columns": "dport", "ifaces": "eth0,eth2"}, ""),
     "U01_multi_iface": ({"columns": "iface,proto", "ifaces": "eth0,eth1,eth2"}, ""),
     "S05_strict_low": ({"columns": "time", "ifaces": "eth0", "first": 1_705_017_600, "last": 1_705_104_000}, ""),
-    "S05_plus_interval": ({"columns": "time,sip", "ifaces": "eth1", "first": 1_705_017_300, "last": 1_705_017_900}, ""),
+    "S05_plus_interval": ({"columns": "time,sip", "ifaces": "eth1", "first": 1_704_999_900, "last": 1_705_000_199}, ""),
     "F01_dport_eq": ({"columns": "sip,dport", "where": "dport = 80"}, "dport = 80"),
     "F01_dport_ne": ({"columns": "sip,dport", "where": "dport != 80"}, "dport <> 80"),
     "F01_dport_lt": ({"columns": "sip,dport", "where": "dport < 443"}, "dport < 443"),
@@ -135,7 +135,6 @@ def _packets(f):
     return lambda spark, sf_dir: f(fixtures.packets_of_events(spark, sf_dir))
 
 
-_RAW = {"columns": "raw", "first": NOW - 3 * 86_400}
 _META_SQL = """meta AS (SELECT iface, day, time AS "timestamp", CAST(-1 AS BIGINT) AS pcap_packets_received, CAST(-1 AS BIGINT) AS pcap_packets_dropped,
   CAST(-1 AS BIGINT) AS pcap_packets_if_dropped, CAST(sum(pkts_rcvd + pkts_sent) AS BIGINT) AS packets_logged, count(*) AS flowcount,
   CAST(sum(bytes_rcvd + bytes_sent) AS BIGINT) AS traffic FROM flows GROUP BY iface, day, time)"""
@@ -184,21 +183,21 @@ MORE: dict[str, tuple[Callable, str | None]] = {
     "P01_ip_text_v4": (_flows(lambda f: f.where("lower(hex(sip)) LIKE '0a%'").select(ip_text("sip").alias("ip")).distinct()), f"{_WITH} SELECT DISTINCT {sql_ip_text('sip')} AS ip FROM flows WHERE sip LIKE '0a%'"),
     "P01_ip_text_v6": (_flows(lambda f: f.where("lower(hex(sip)) LIKE '2%'").select(ip_text("sip").alias("ip")).distinct()), f"{_WITH} SELECT DISTINCT {sql_ip_text('sip')} AS ip FROM flows WHERE sip LIKE '2%'"),
     "S18_csv_rows": (
-        _flows(lambda f: lines.csv_lines(plan(f, spec_query({"columns": "dport,proto", "direction": "sum", "ifaces": "eth0"})))),
-        None,
+        _flows(lambda f: lines.csv_lines(plan(f, spec_query({"columns": "dport,proto", "direction": "sum"})))),
+        f"""{_WITH}, g AS (SELECT iface, dport, proto, CAST(sum(pkts_rcvd + pkts_sent) AS BIGINT) AS p, CAST(sum(bytes_rcvd + bytes_sent) AS BIGINT) AS b FROM flows GROUP BY ALL)
+          SELECT iface || ',' || dport || ',' || {sql_protocol_name('proto')} || ',' || p || ',' || printf('%.2f', 100.0 * p / (SELECT sum(p) FROM g)) || ',' || b || ',' || printf('%.2f', 100.0 * b / (SELECT sum(b) FROM g)) AS line FROM g""",
     ),
     "S20_influx_lines": (
-        _flows(lambda f: lines.influx_lines(plan(f, spec_query({"columns": "raw", "format": "influxdb", "first": NOW - 3 * 86_400})))),
+        _flows(lambda f: lines.influx_lines(plan(f, spec_query({"columns": "raw", "format": "influxdb"})))),
         f"""{_WITH} SELECT 'flows,iface=' || iface || ',proto=' || {sql_protocol_name('proto')} || ' sip=' || {sql_ip_text('sip')} || ',dip=' || {sql_ip_text('dip')} || ',dport=' || dport
           || ',packets_rcvd=' || sum(pkts_rcvd) || 'i,packets_sent=' || sum(pkts_sent) || 'i,bytes_rcvd=' || sum(bytes_rcvd) || 'i,bytes_sent=' || sum(bytes_sent) || 'i ' || time || '000000000' AS line
-          FROM flows WHERE time > {NOW - 3 * 86_400} GROUP BY time, iface, sip, dip, dport, proto""",
+          FROM flows GROUP BY time, iface, sip, dip, dport, proto""",
     ),
     "S21_syslog_lines": (
         _flows(lambda f: lines.syslog_lines(f)),
         f"""{_WITH} SELECT time || ',' || iface || ',' || {sql_ip_text('sip')} || ',' || {sql_ip_text('dip')} || ',' || dport || ',' || {sql_protocol_name('proto')} || ',' || pkts_rcvd || ',' || pkts_sent
           || ',' || bytes_rcvd || ',' || bytes_sent AS line FROM flows""",
     ),
-    "D01_clean_before": (_flows(lambda f: blocks.summary(blocks.block_meta(f.where(F.col("day") >= 1_705_363_200)))), f"{_WITH}, {_META_SQL}, {_SUMMARY_SQL.replace('FROM meta', 'FROM meta WHERE day >= 1705363200')} SELECT * FROM summary"),
     "T04_direction": (_packets(lambda p: p.groupBy(direction_column().alias("direction"), "proto").agg(F.count("*").alias("n"))), f"WITH {fixtures.SQL_PACKETS} SELECT {_VERDICT_SQL} AS direction, proto, count(*) AS n FROM packets GROUP BY ALL"),
     "A10_packet_to_flow": (_packets(lambda p: _packet_rows(packets_to_flows(p))), f"{_P2F_SQL} SELECT * FROM f"),
     "A11_flow_roll_up": (
@@ -208,11 +207,12 @@ MORE: dict[str, tuple[Callable, str | None]] = {
     "A12_error_counts": (_packets(_error_rows), "SELECT CASE WHEN event_id % 11 = 0 THEN 'short packet' ELSE 'fragment' END AS error, count(*) AS n FROM events WHERE event_id % 11 = 0 OR event_id % 13 = 0 GROUP BY ALL"),
     "A13_stat_deltas": (_flows(_stat_deltas), f"{_WITH}, s AS ({_STATS.format(flows='flows')}) SELECT iface, time, received - coalesce(lag(received) OVER (PARTITION BY iface ORDER BY time), 0) AS delta_received FROM s"),
 }
+MORE |= round_trips.made(MORE["A11_flow_roll_up"][1])
 
 QUERIES = {f"q_{k}": _of_spec(options) for k, (options, _) in SPECS.items()} | {f"q_{k}": f for k, (f, _) in MORE.items()}
 ORACLES = {f"q_{k}": _sql_of_spec(options, where) for k, (options, where) in SPECS.items()} | {f"q_{k}": sql for k, (_, sql) in MORE.items() if sql}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Top talkers over HTTPS."""
+    """Top talkers over HTTPS, of all interfaces."""
     return QUERIES["q_O06_top_10"](spark, sf_dir)

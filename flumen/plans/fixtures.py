@@ -41,11 +41,11 @@ SQL_FLOWS = """flows AS (
 
 
 def flows_of_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A larger view for timing: one flow a line item."""
+    """A larger view for timing: one flow a line item, dealt over thirty days."""
     return (
         spark.read.parquet(f"{sf_dir}/lineitem.parquet")
         .selectExpr(
-            f"(CAST(floor({_EPOCH.format('l_shipdate')} / 300.0D) AS BIGINT) + 1 + l_orderkey % 288) * 300 AS time",
+            f"(CAST(floor({_EPOCH.format('l_shipdate')} / 86400.0D) AS BIGINT) % 30 + 19723) * 86400 + (1 + l_orderkey % 287) * 300 AS time",
             "unhex(concat('0A', lpad(hex(l_suppkey), 6, '0'), repeat('0', 24))) AS sip",
             "unhex(concat('AC', lpad(hex(l_partkey), 6, '0'), repeat('0', 24))) AS dip",
             "CAST(element_at(array(443, 80, 53, 22, 8080), CAST(l_orderkey % 5 AS INT) + 1) AS INT) AS dport",
