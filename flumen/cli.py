@@ -40,6 +40,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-clean", dest="clean", default="", help="delete days before this time")
     p.add_argument("-import", dest="csv", default="", help="CSV file to import")
     p.add_argument("-measurement", dest="measurement", default="flows", help="name of the series in line protocol")
+    p.add_argument("-o", dest="out", default="", help="folder to write all rows to, for results too large to show")
     p.add_argument("-schema", dest="schema", default=None, help="column names of a CSV file without header")
     p.add_argument("-version", action="version", version=VERSION)
     return p
@@ -91,9 +92,13 @@ def run(spark: SparkSession, argv: list[str], now: float | None = None) -> tuple
             a.columns, a.ifaces if len(names) != 1 else names[0], a.where, a.first, a.last, a.sort, a.ascending, direction(a.inward, a.outward, a.sum), a.limit, a.format, a.external, now, _names_of
         )
         planned = plan(store.flows(), query)
+        if a.out:
+            reports.write_query(planned, a.out, a.measurement)
+            return 0, ""
+        span = store.span(planned.query.first, planned.query.last, names)
         if not a.resolve or a.format == "influxdb":
-            return 0, reports.run_query(planned, a.columns, a.where, ",".join(names), a.measurement)
-        report = reports.make_report(planned, ",".join(names))
+            return 0, reports.run_query(planned, a.columns, a.where, ",".join(names), a.measurement, span)
+        report = reports.make_report(planned, ",".join(names), span)
         began = clock.time()
         reports.resolve_addresses(report, lookups(a.resolve_timeout), a.resolve_rows)
         if a.format == "json":

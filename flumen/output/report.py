@@ -12,10 +12,15 @@ import time as clock
 from dataclasses import dataclass
 from datetime import UTC, datetime, tzinfo
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.human import count_text, duration_text, size_text, time_text
 from ..plans.query import FlowQuery, Planned
+from .lines import csv_lines, influx_lines
+
+#: Rows that a report may bring to the driver; queries by time have no limit of their own.
+MOST_ROWS = 100_000
 
 # Column titles and labels of the formats.
 _LABELS = {
@@ -62,11 +67,20 @@ class Report:
         return sum(self.totals[f"total_{kind}_{s}"] for s in sides)
 
 
-def make_report(planned: Planned, ifaces: str | None = None) -> Report:
+def _shown(planned: Planned, totals: dict, most: int) -> None:
+    """Raises where a report would bring more rows to the driver than ``most``."""
+    shown = min(totals["hits"], planned.query.limit)
+    if shown > most:
+        raise ValueError(f"{shown} rows are too many for a report; write them to a folder")
+
+
+def make_report(planned: Planned, ifaces: str | None = None, span: DataFrame | None = None, most: int = MOST_ROWS) -> Report:
+    """``span`` is the covered time, if block metadata tells it; else the flows are scanned for it."""
     started = clock.time()
-    rows = [r.asDict() for r in planned.rows.collect()]
     totals = planned.totals.first().asDict()
-    span = planned.span.first()
+    _shown(planned, totals, most)
+    rows = [r.asDict() for r in planned.rows.collect()]
+    span = (planned.span if span is None else span).first()
     packets, volume = _LABELS["both" if planned.query.direction == "both" else "one"]
     return Report(
         planned.query, [*planned.query.keys, *packets, *volume], rows, totals, ifaces or planned.query.ifaces,
@@ -159,12 +173,19 @@ def error_status(message: str, external: bool) -> str:
     return json.dumps({"status": "error", "statusMessage": "An error occurred during query execution" if external else message})
 
 
-def influx_report(planned: Planned, measurement: str = "flows") -> str:
-    from .lines import influx_lines
-
+def influx_report(planned: Planned, measurement: str = "flows", most: int = MOST_ROWS) -> str:
+    _shown(planned, planned.totals.first().asDict(), most)
     return "".join(r["line"] + "\n" for r in influx_lines(planned, measurement).toLocalIterator())
 
 
+def write_query(planned: Planned, path: str, measurement: str = "flows") -> None:
+    """The rows of a query, however many, written by the executors: text for csv and influxdb, JSON lines else."""
+    if planned.query.format in ("csv", "influxdb"):
+        (csv_lines(planned) if planned.query.format == "csv" else influx_lines(planned, measurement)).write.text(path)
+    else:
+        planned.rows.write.json(path)
+
+
 def list_report(summaries, external: bool = False, zone: tzinfo = UTC, tunnels: dict[str, tuple[str, str]] | None = None) -> str:
     """The interfaces of a summary, one row each, with totals; JSON for programs."""
     rows = [r.asDict() for r in summaries.orderBy("iface").collect()]
@@ -178,11 +199,11 @@ def list_report(summaries, external: bool = False, zone: tzinfo = UTC, tunnels:
     return f"\n{_aligned(table)}\n"
 
 
-def run_query(planned: Planned, query_type: str, condition: str = "", ifaces: str | None = None, measurement: str = "flows") -> str:
+def run_query(planned: Planned, query_type: str, condition: str = "", ifaces: str | None = None, measurement: str = "flows", span: DataFrame | None = None) -> str:
     """Output of a query in its format; a status where nothing was found."""
     if planned.query.format == "influxdb":
         return influx_report(planned, measurement)
-    report = make_report(planned, ifaces)
+    report = make_report(planned, ifaces, span)
     if not report.hits:
         return json.dumps(EMPTY) + "\n"
     if planned.query.format == "json":
