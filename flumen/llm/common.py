@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -21,11 +22,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the one that all executors share (``spark.checkpoint.dir``).
 
-    Where the session names none, a folder of this machine is set, which is right for
-    local sessions only.
+    Where the session names none, a local session gets a folder of this machine; on a cluster it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="flumen-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/flumen-{uuid.uuid4().hex}"
@@ -99,20 +101,17 @@ def pieces(batches, rows: int = 1024) -> Iterator[pa.RecordBatch]:
             yield batch.slice(start, rows)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, after: Callable[[], None] = lambda: None) -> DataFrame:
-    """Arrow batches through ``fn``, which returns column lists by name; ``after`` runs at the end of a task."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
+    """Arrow batches through ``fn``, which returns column lists by name."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            for batch in pieces(batches):
-                out = fn(batch)
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
-        finally:
-            after()
+        for batch in pieces(batches):
+            out = fn(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return map_arrow(df, run, schema)
 
