@@ -7,6 +7,7 @@ from flumen import cli
 from flumen.completion import complete, next_in_condition, split_words
 from flumen.config import Config, Interface
 from flumen.functions.net import parse_ip
+from flumen.output import report as reports
 from flumen.plans import fixtures
 from flumen.plans.query import FlowQuery, plan
 from flumen.sources import metadata
@@ -102,6 +103,10 @@ def test_command_line(spark, store, tmp_path):
     assert code == 0 and json.loads(text)["dport"][0]["iface"].startswith("eth")
     code, text = cli.run(spark, [*at, "-i", "eth0", "-f", "0", "-e", "csv", "-in", "proto"])
     assert code == 0 and text.startswith("proto,packets,%")
+    for form, read in (("csv", spark.read.text), ("json", spark.read.json), ("influxdb", spark.read.text)):
+        out = str(tmp_path / form)
+        assert cli.run(spark, [*at, "-i", "eth0", "-f", "0", "-e", form, "-o", out, "raw"]) == (0, "")
+        assert read(out).count() == plan(store.flows(), FlowQuery("raw", "eth0", first=0)).groups.count()
     assert cli.run(spark, [*at, "-list"])[1].count("eth") == 4
     assert cli.run(spark, [*at, "-i", "eth0", "-c", "dport ="])[0] == 1
     code, text = cli.run(spark, [*at, "-x", "-i", "eth0", "nosuch"])
@@ -111,6 +116,16 @@ def test_command_line(spark, store, tmp_path):
     assert cli.direction(True, True, False) == "both" and cli.direction(True, False, True) == "sum"
 
 
+def test_reports_are_bounded(store, tmp_path):
+    planned = plan(store.flows(), FlowQuery("time", first=0))
+    with pytest.raises(ValueError, match="too many"):
+        reports.make_report(planned, most=5)
+    with pytest.raises(ValueError, match="too many"):
+        reports.influx_report(planned, most=5)
+    assert reports.make_report(planned, span=store.span()).span == reports.make_report(planned).span
+    assert reports.make_report(plan(store.flows(), FlowQuery("time,dport", first=0, sort="bytes")), most=10**6).hits > 5
+
+
 def test_completion():
     assert split_words("flumen -i 'eth0 x' si") == ["flumen", "-i", "eth0 x", "si"]
     assert complete("flumen -i et", ["eth0", "eth1", "wan"]) == ["eth0", "eth1"]
