@@ -1,30 +1,32 @@
 """Hashed word shingles of whole texts, vectorised over batches.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, a shingle is five of them in a row. A text
-with fewer words has its whole word sequence as one shingle; one without words has none. Hashes
-have 64 bits, so two different shingles of a pair of texts are taken for equal with a chance of
-about 10**-13 for texts of a thousand words.
+with fewer words has its whole word sequence as one shingle; one without words has none.
+
+The distinct words of a batch are hashed one by one to 128 bits (XXH3, seeded); a shingle has two
+hashes of 64 bits made of these. Shingles are compared by the first: two different shingles of a
+pair of texts are taken for equal with a chance of about 10**-13 for texts of a thousand words. Sets
+are named by both, see ``named_sets``.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 
 WIDTH = 5
-SEGMENT = 1 << 20
-
-_rng = np.random.default_rng(20240501)
-_odd = lambda n: _rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE = _odd(256)
-_PLACE = _odd(WIDTH)
-_SHORT = _odd(WIDTH + 1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+SEGMENT = 1 << 21
+SEED = 20240501
+
+_rng = np.random.default_rng(SEED)
+_odd = lambda *n: _rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACE = _odd(2, WIDTH, 2)  # hash of the shingle, place of the word, half of the word's hash
+_SHORT = _odd(2, WIDTH + 1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -36,18 +38,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(SEGMENT, 1 << (n - 1).bit_length())
-    if size not in _powers:
-        if size > SEGMENT:
-            for key in [k for k in _powers if k > SEGMENT]:
-                del _powers[key]
-        base, inverse = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
-        base[0] = inverse[0] = 1
-        _powers[size] = np.multiply.accumulate(base), np.multiply.accumulate(inverse)
-    return _powers[size]
-
-
 def _segments(space: np.ndarray):
     """Cuts at white space, about SEGMENT bytes apart; a longer word stays whole."""
     n, start = len(space), 0
@@ -70,28 +60,35 @@ def _segments(space: np.ndarray):
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash, byte offset) of every word of UTF-8 ``data``."""
+    """(words x 2 halves of a 128-bit hash, byte offset) of every word of UTF-8 ``data``."""
     raw = _LOWER[np.frombuffer(data, np.uint8)]
     space = _SPACE[raw]
-    hashes, offsets = [], []
+    hashes, starts = [np.empty((0, 2), np.uint64)], [np.empty(0, np.int64)]
+    digest = xxhash.xxh3_128_digest
     for s, e in _segments(space):
         inside = ~space[s:e]
-        edge = np.diff(inside.astype(np.int8), prepend=np.int8(0), append=np.int8(0))
-        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        first = np.flatnonzero(inside & np.concatenate([[True], ~inside[:-1]]))
         if not len(first):
             continue
-        power, inverse = _power_table(e - s)
-        total = np.zeros(e - s + 1, np.uint64)
-        np.cumsum(_BYTE[raw[s:e]] * power[: e - s], out=total[1:])
-        hashes.append(mix((total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64)))
-        offsets.append(first + s)
-    if not hashes:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(offsets)
+        kept = raw[s:e][inside]
+        offsets = np.append((np.cumsum(inside) - 1)[first], len(kept))
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(kept)]).dictionary_encode()
+        known = np.frombuffer(b"".join([digest(w, SEED) for w in words.dictionary.to_pylist()]), np.uint64).reshape(-1, 2)
+        hashes.append(known[words.indices.to_numpy()])
+        starts.append(first + s)
+    return np.concatenate(hashes), np.concatenate(starts)
 
 
-def shingle_hashes(texts: list) -> list[np.ndarray]:
-    """For each text the hashes of its shingles in text order, repeats included; null is empty."""
+def _run_hashes(words: np.ndarray, places: np.ndarray) -> np.ndarray:
+    runs = np.zeros(max(0, len(words) - WIDTH + 1), np.uint64)
+    for k in range(WIDTH):
+        part = words[k : k + len(runs)]
+        runs += part[:, 0] * places[k, 0] + part[:, 1] * places[k, 1]
+    return mix(runs)
+
+
+def _hashes(texts: list, kinds: int) -> list[tuple[np.ndarray, ...]]:
+    """For each text the first ``kinds`` hashes of its shingles in text order, repeats included."""
     parts, ends, size = [], [], 0
     for text in texts:
         data = text.encode("utf-8", "surrogatepass") if text else b""
@@ -100,25 +97,48 @@ def shingle_hashes(texts: list) -> list[np.ndarray]:
         ends.append(size)
     words, at = word_hashes(b" ".join(parts) + b" ")
     upto = np.searchsorted(at, ends).tolist()
-    n = len(words)
-    runs = np.zeros(max(0, n - WIDTH + 1), np.uint64)
-    for k in range(WIDTH):
-        runs += words[k : k + len(runs)] * _PLACE[k]
-    runs = mix(runs)
+    runs = [_run_hashes(words, _PLACE[k]) for k in range(kinds)]
+    none = (np.empty(0, np.uint64),) * kinds
     out, start = [], 0
     for end in upto:
         count = end - start
         if count >= WIDTH:
-            out.append(runs[start : end - WIDTH + 1])
+            out.append(tuple(r[start : end - WIDTH + 1] for r in runs))
         elif count:
-            h = (words[start:end] * _PLACE[:count]).sum(dtype=np.uint64, keepdims=True) + _SHORT[count]
-            out.append(mix(h))
+            here = words[start:end]
+            out.append(tuple(mix((here * _PLACE[k, :count]).sum(dtype=np.uint64, keepdims=True)[0] + _SHORT[k, count : count + 1]) for k in range(kinds)))
         else:
-            out.append(np.empty(0, np.uint64))
+            out.append(none)
         start = end
     return out
 
 
+def shingle_hashes(texts: list) -> list[np.ndarray]:
+    """For each text the hashes of its shingles in text order, repeats included; null is empty."""
+    return [x[0] for x in _hashes(texts, 1)]
+
+
 def shingle_sets(texts: list) -> list[np.ndarray]:
     """For each text its distinct shingle hashes, ascending."""
     return [np.unique(x) for x in shingle_hashes(texts)]
+
+
+def named_sets(texts: list) -> list[tuple[np.ndarray, int | None, int | None]]:
+    """For each text its distinct shingle hashes, ascending, and two signed 64-bit names of the set.
+
+    The second name is made of the shingles' second hashes, so different sets share both names with a
+    chance of 2**-128. Empty sets have no names.
+    """
+    out = []
+    for one, two in _hashes(texts, 2):
+        if not len(one):
+            out.append((one, None, None))
+            continue
+        order = np.argsort(one)
+        one, two = one[order], two[order]
+        fresh = np.ones(len(one), bool)
+        fresh[1:] = one[1:] != one[:-1]
+        one, two = one[fresh], two[fresh]
+        names = [int(mix(mix(x + np.uint64(0x632BE59BD9B4E019)).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(x))).view(np.int64)[0]) for x in (one, two)]
+        out.append((one, *names))
+    return out
