@@ -8,7 +8,7 @@ import corpus_pipeline
 from flumen.llm import bpe, pii, quality_classifier
 
 from ..conftest import ROOT, SF
-from .helpers import components, shingles
+from .helpers import ODD, components, shingles
 
 
 def test_stages_equal_brute_force(spark):
@@ -38,6 +38,26 @@ def test_stages_equal_brute_force(spark):
     assert got == expected and len(rows) == len(got) < len(table)
 
 
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Null and repeated ids with different texts, odd texts, a clashing column; then no documents at all."""
+    table = pq.read_table(f"{SF}/documents.parquet").to_pylist()
+    rows = [(r["doc_id"], r["text"]) for r in table] + ODD + [(table[0]["doc_id"], table[5]["text"]), (table[0]["doc_id"], "a text of its own that nothing else is like at all today"), (None, None)]
+    shape = "doc_id long, text string, lang string, source string, n_chars long, token_ids string, row string"
+    for name, some in (("odd", rows), ("none", [])):
+        spark.createDataFrame([(i, t, "en", "s", len(t or ""), "mine", "mine") for i, t in some], shape).write.parquet(str(tmp_path / name / "documents.parquet"))
+        for other in ("labels", "benchmark"):
+            spark.read.parquet(f"{SF}/{other}.parquet").write.parquet(str(tmp_path / name / f"{other}.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path / "odd"))
+    got = out.collect()
+    assert set(out.columns) == {"doc_id", "text", "lang", "source", "n_chars", "row", "n_tokens", "token_ids"} and {r["row"] for r in got} == {"mine"}
+    score = quality_classifier.scorer(quality_classifier.train(*(spark.read.parquet(str(tmp_path / "odd" / f"{n}.parquet")) for n in ("documents", "labels"))))
+    good = [r for r, s in zip(rows, score([t for _, t in rows]), strict=True) if s >= 0.7]
+    groups = components([(k, t) for k, (_, t) in enumerate(good)])
+    assert len(got) <= len(good) and len([r for r in got if shingles(r["text"])]) <= len({top for n, top in groups.values() if n})
+    empty = corpus_pipeline.run(spark, str(tmp_path / "none"))
+    assert empty.count() == 0 and set(empty.columns) == set(out.columns)
+
+
 def test_stage_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(30)
     for _, stage in corpus_pipeline.STAGES[:-1]:
