@@ -8,9 +8,11 @@ pair of ports; that is the grouping key.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -22,6 +24,10 @@ OUTPUT = "time long, iface string, sip binary, dip binary, dport int, proto int,
 GROUP = ("iface", "low", "high", "proto", "ports")
 #: Order of the packets of a group.
 ORDER = ("epoch", "sip", "dip", "sport", "dport")
+#: What the log takes of a packet, besides its time.
+PACKET = ("sip", "dip", "sport", "dport", "proto", "num_bytes", "tcp_flags", "inbound")
+#: Flows that the batch form hands on at once.
+OUT_ROWS = 10_000
 _TCP, _DNS = 6, 53
 #: State of a live flow: its key, then ends, counters and whether its direction is known.
 FLOW_KEY = "sip binary, dip binary, dport int, sport int, proto int"
@@ -88,15 +94,16 @@ class Rotation:
 
     def feed(self, packets: pd.DataFrame) -> Iterator[tuple]:
         """Packets in time order; a late one counts in the open block."""
-        return self.take(packets.sort_values(list(ORDER), kind="stable"))
+        ordered = packets.sort_values(list(ORDER), kind="stable")
+        return self.take((p.epoch, bytes(p.sip), bytes(p.dip), int(p.sport), int(p.dport), int(p.proto), int(p.num_bytes), int(p.tcp_flags), bool(p.inbound)) for p in ordered.itertuples(index=False))
 
-    def take(self, packets: pd.DataFrame) -> Iterator[tuple]:
-        """The same of packets that are in order already."""
-        for p in packets.itertuples(index=False):
-            end = self.end_of(p.epoch)
+    def take(self, packets: Iterable[tuple]) -> Iterator[tuple]:
+        """The same of packets that are in order already, each its time and then ``PACKET``."""
+        for epoch, *packet in packets:
+            end = self.end_of(epoch)
             if self.end is None or end > self.end:
                 yield from self.advance(end)
-            self.log.add(bytes(p.sip), bytes(p.dip), int(p.sport), int(p.dport), int(p.proto), int(p.num_bytes), int(p.tcp_flags), bool(p.inbound))
+            self.log.add(*packet)
 
     def finish(self) -> Iterator[tuple]:
         """Rotation of the open block."""
@@ -118,28 +125,43 @@ def _rows(found: list[tuple], iface: str) -> pd.DataFrame:
     return pd.DataFrame([(t, iface, *rest) for t, *rest in found], columns=names)
 
 
+def _batch(found: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), schema.types, strict=True)], schema=schema)
+
+
 def flow_blocks(packets: DataFrame, seconds: int = BLOCK_SECONDS, start: int = 0) -> DataFrame:
     """Batch form: all blocks of a bounded set of packets (``epoch`` is their time), merged over groups.
 
-    Packets come group by group and in time order; a task holds one Arrow batch and the live flows of one group.
+    Packets come group by group and in time order; a task holds one Arrow batch, the live flows of one group and
+    ``OUT_ROWS`` flows. Most groups have one packet or two, so a group costs no more than its packets do: no frame
+    is made for it. A packet that lacks a field is in no flow.
     """
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, state = None, None
-        for frame in frames:
-            for key, part in frame.groupby(list(GROUP), sort=False):
+    names, types = zip(*(c.split() for c in OUTPUT.split(", ")), strict=True)
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+    schema = pa.schema([(n, kinds[t]) for n, t in zip(names, types, strict=True)])
+    width = len(GROUP)
+
+    def flows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        rows = chain.from_iterable(zip(*(c.to_pylist() for c in batch.columns), strict=True) for batch in batches)
+        for key, group in groupby(rows, lambda row: row[:width]):
+            log = Rotation(FlowLog(), None, seconds, start)
+            for end, *flow in chain(log.take(row[width:] for row in group), log.finish()):
+                yield end, key[0], *flow
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = []
+        for flow in flows(batches):
+            found.append(flow)
+            if len(found) == OUT_ROWS:
+                yield _batch(found, schema)
                 found = []
-                if key != at:
-                    if state is not None:
-                        yield _rows(list(state.finish()), at[0])
-                    at, state = key, Rotation(FlowLog(), None, seconds, start)
-                found += state.take(part)
-                yield _rows(found, at[0])
-        if state is not None:
-            yield _rows(list(state.finish()), at[0])
-
-    rows = grouped_packets(packets).select(*GROUP, *ORDER, "num_bytes", "tcp_flags", "inbound")
-    return merge_groups(rows.repartition(*GROUP).sortWithinPartitions(*GROUP, *ORDER).mapInPandas(fold, OUTPUT))
+        if found:
+            yield _batch(found, schema)
+
+    rows = grouped_packets(packets).dropna(subset=[*GROUP, *ORDER, *PACKET]).repartition(*GROUP).sortWithinPartitions(*GROUP, *ORDER)
+    # the group's columns twice, for a packet has its protocol too
+    sent = rows.select(*[F.col(c).alias(f"group_{c}") for c in GROUP], "epoch", *PACKET)
+    return merge_groups(sent.mapInArrow(fold, OUTPUT))
 
 
 def merge_groups(parts: DataFrame) -> DataFrame:

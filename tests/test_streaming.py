@@ -1,4 +1,5 @@
 import random
+import time
 from datetime import UTC, datetime
 
 import pandas as pd
@@ -98,6 +99,28 @@ def test_grouped_batch_equals_one_log(spark):
     assert _set(flow_blocks(df).collect()) == _brute(rows)
 
 
+def test_many_groups_of_one_packet_cost_what_their_packets_do(spark):
+    n = 12_000
+    packets = "CAST(1700000000 + id AS DOUBLE) AS epoch", "'eth0' AS iface", "unhex(lpad('0A000001', 32, '0')) AS sip", "unhex(lpad('0A000002', 32, '0')) AS dip", "443 AS dport", "6 AS proto", "100 AS num_bytes", "2 AS tcp_flags", "id % 2 = 0 AS inbound"
+
+    def seconds(sport):
+        began = time.time()
+        rows = flow_blocks(spark.range(n).selectExpr(*packets, f"{sport} AS sport")).agg(F.sum(F.col("pkts_rcvd") + F.col("pkts_sent"))).first()
+        assert rows[0] == n
+        return time.time() - began
+
+    seconds("30000")  # starts the workers
+    assert seconds("CAST(20001 + id AS INT)") < 4 * seconds("30000") + 2
+
+
+def test_packets_that_lack_a_field_are_in_no_flow(spark):
+    rows = _packets(60)
+    broken = [tuple(None if j == k else x for j, x in enumerate(rows[0])) for k in range(len(rows[0]))]
+    nullable = T.StructType([T.StructField(f.name, f.dataType) for f in PACKETS])
+    df = spark.createDataFrame(rows + broken, nullable).withColumn("epoch", F.col("ts").cast("double"))
+    assert _set(flow_blocks(df).collect()) == _brute(rows)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = _packets(300)
     late = [("eth0", datetime.fromtimestamp(1_700_100_000, UTC).replace(tzinfo=None), bytearray(parse_ip("1.1.1.1")), bytearray(parse_ip("1.1.1.2")), 1, 2, 99, 1, 0, True)]
