@@ -16,7 +16,7 @@ from ..sources.metadata import merge_summaries, read_summary
 from ..sources.places import work_folder
 from ..sources.store import FlowStore
 from ..streaming.flowlog import flow_blocks, grouped_packets
-from ..streaming.packets import decode_packets, first_of_each_error, packet_files, split_errors
+from ..streaming.packets import arriving, decode_packets, first_of_each_error, ordered_files, packet_files, split_errors
 from ..streaming.pipeline import flush, start_store
 from . import fixtures
 from .query import FlowQuery, lookup_names, plan
@@ -103,16 +103,21 @@ def flow_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packets written to a folder, read as a stream in bounded micro-batches into a store, and flushed."""
+    """Packets written as files in order of time, read as a stream in bounded micro-batches into a store, and flushed."""
     folder = work_folder(spark, "stream")
     packets = fixtures.packets_of_events(spark, sf_dir)
-    last = packets.agg(F.max("epoch")).first()[0]
-    packets.withColumn("ts", F.timestamp_seconds("epoch")).select(*PACKETS.fieldNames()).coalesce(1).write.parquet(f"{folder}/in")
-    flush(spark, f"{folder}/in", int(last or 0))
+    last, n = packets.agg(F.max("epoch"), F.count("*")).first()
+    slices = ordered_files(packets.withColumn("ts", F.timestamp_seconds("epoch")).select(*PACKETS.fieldNames()), f"{folder}/ordered", n)
     store = FlowStore(spark, f"{folder}/store")
-    good, _ = split_errors(packet_files(spark, f"{folder}/in", max_files=1))
-    query = start_store(good, store, f"{folder}/check", stateful=False)
-    query.awaitTermination()
+
+    def run():
+        good, _ = split_errors(packet_files(spark, f"{folder}/in"))
+        start_store(good, store, f"{folder}/check", stateful=False).awaitTermination()
+
+    for _ in arriving(spark, slices, f"{folder}/in"):
+        run()
+    flush(spark, f"{folder}/in", int(last or 0))
+    run()
     return store.flows().selectExpr(*_SHOWN)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +14,8 @@ from ..schema import PACKETS
 _TCP, _UDP, _ESP, _NONE = 6, 17, 50, 255
 #: Captured frames: ``frame`` begins with the link layer, ``length`` is that of the whole packet on the wire.
 FRAMES = "iface string, ts timestamp, frame binary, length int, inbound boolean"
+#: Packets of a file and of a micro-batch, where a bounded set of packets is given to a stream.
+FILE_PACKETS, SLICE_PACKETS = 250_000, 2_000_000
 
 
 def _byte(frame: Column, at: Column | int) -> Column:
@@ -64,6 +68,38 @@ def packet_files(spark: SparkSession, path: str, max_files: int | None = None, m
     return reader.parquet(path)
 
 
+def ordered_files(packets: DataFrame, folder: str, n: int, file_packets: int = FILE_PACKETS, slice_packets: int = SLICE_PACKETS) -> list[list[str]]:
+    """Writes ``n`` packets below ``folder`` as files that follow one another in time; their paths, slice by slice.
+
+    A file has about ``file_packets`` packets and a slice about ``slice_packets``, however many there are in all.
+    Packets of one moment may be dealt to several files.
+    """
+    spark, files = packets.sparkSession, -(-n // file_packets) or 1
+    packets.repartitionByRange(files, "ts", "sip", "dip", "sport", "dport").write.parquet(folder)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/part-*.parquet")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or ()
+    # named by the number of the partition
+    written = sorted(x.getPath().toString() for x in found)
+    step = -(-len(written) // (-(-n // slice_packets) or 1)) or 1
+    return [written[k : k + step] for k in range(0, len(written), step)]
+
+
+def arriving(spark: SparkSession, slices: list[list[str]], folder: str) -> Iterator[int]:
+    """Moves files into the folder of a stream, a slice at each step; yields the slice's number.
+
+    Run the stream (``availableNow``) at each step: it then meets the slices in their order whatever the
+    times of the files, so no packet is late, and holds the open blocks of one slice.
+    """
+    to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = to(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(to(folder))
+    for k, files in enumerate(slices):
+        for file in files:
+            if not fs.rename(to(file), to(f"{folder}/{file.rsplit('/', 1)[1]}")):
+                raise OSError(f"{file} cannot be moved to {folder}")
+        yield k
+
+
 def parse_packets(values: DataFrame) -> DataFrame:
     """Packets from JSON texts in ``value`` (addresses in base64); a text that cannot be read is an error."""
     rows = values.select(F.col("value").cast("string").alias("value"))

@@ -1,3 +1,4 @@
+import os
 import random
 import time
 from datetime import UTC, datetime
@@ -9,10 +10,11 @@ from pyspark.sql import types as T
 from flumen.config import Config, Interface
 from flumen.functions.net import parse_ip
 from flumen.operators.direction import classify, direction_column
+from flumen.plans import catalog, round_trips
 from flumen.schema import COUNTERS, PACKETS
 from flumen.sources.store import FlowStore
 from flumen.streaming.flowlog import FlowLog, Rotation, flow_blocks, stream_flow_blocks
-from flumen.streaming.packets import FRAMES, decode_packets, first_of_each_error, packet_files, parse_packets
+from flumen.streaming.packets import FRAMES, decode_packets, first_of_each_error, ordered_files, packet_files, parse_packets
 from flumen.streaming.pipeline import Sources, flush, split_errors, start_dead_letters, start_store, stateless_blocks, status
 
 C, S = parse_ip("10.0.0.1"), parse_ip("10.0.0.2")
@@ -165,6 +167,24 @@ def test_flush_closes_the_open_block(spark, tmp_path):
     assert sums() == _brute(rows) and store.interfaces() == ["eth0"]
 
 
+def test_streamed_packets_come_in_bounded_slices_in_order_of_time(spark, same_as_sql, monkeypatch):
+    made, began = [], time.time()
+
+    def small(packets, folder, n):
+        slices = ordered_files(packets, folder, n, file_packets=-(-n // 10), slice_packets=-(-n // 2))
+        for k, file in enumerate(x for files in slices for x in files):  # the times of the files say the opposite
+            os.utime(file.removeprefix("file:"), (began - k, began - k))
+        made.append((n, [[spark.read.parquet(x).agg(F.count("*"), F.min("ts"), F.max("ts")).first() for x in files] for files in slices]))
+        return slices
+
+    monkeypatch.setattr(round_trips, "ordered_files", small)
+    same_as_sql(catalog.QUERIES["q_T06_stream_blocks"], catalog.ORACLES["q_T06_stream_blocks"])
+    [(n, slices)] = made
+    files = [x for part in slices for x in part]
+    assert len(slices) == 2 and sum(x[0] for x in files) == n and max(x[0] for x in files) < n / 5
+    assert all(x[2] <= y[1] for x, y in zip(files, files[1:], strict=False))
+
+
 def test_batches_that_are_tried_again_count_once(spark, tmp_path):
     store = FlowStore(spark, str(tmp_path / "store"))
     flows = spark.createDataFrame([(300, C, S, 443, 6, 1, 2, 3, 4, "eth0"), (86_700, C, S, 443, 6, 1, 2, 3, 4, "eth1")], "time long, sip binary, dip binary, dport int, proto int, bytes_rcvd long, bytes_sent long, pkts_rcvd long, pkts_sent long, iface string")
@@ -174,8 +194,6 @@ def test_batches_that_are_tried_again_count_once(spark, tmp_path):
         store.write_batch(flows.where("iface = 'eth0'").repartition(2), "s-1")
     assert store.flows().groupBy("iface").count().orderBy("iface").collect() == [("eth0", 2), ("eth1", 1)]
     assert store.summary().agg(F.sum("flowcount")).first()[0] == 3 and store.damaged_blocks().count() == 0
-    import os
-
     os.remove(next((tmp_path / "store" / "flows" / "iface=eth1" / "day=86400").glob("*.parquet")))
     store.compact(0)
     assert [tuple(r) for r in store.damaged_blocks().collect()] == [("eth1", 86_700, "no rows")] and store.flows().count() == 2
